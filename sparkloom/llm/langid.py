@@ -119,7 +119,7 @@ def train(docs: DataFrame, n: int = 3, size: int = 512, text_col: str = "text",
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts], 2 << 20):
+            for a, b in slices([max(1024, len(x)) for x in texts], 2 << 20):
                 vectors = bundle(texts[a:b], n, size)
                 own = np.array(langs[a:b], object)
                 for lang in set(langs[a:b]):
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, size
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             langs, scores = [], []
-            for a, b in slices([len(x or "") for x in texts], 2 << 20):
+            for a, b in slices([max(1024, len(x or "")) for x in texts], 2 << 20):
                 vectors = bundle(texts[a:b], n, size)
                 length = np.linalg.norm(vectors, axis=1)
                 if not names:

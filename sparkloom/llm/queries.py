@@ -7,17 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, simhash, spm, substrings
+from . import ctph, decontaminate, langid, pii, quality, secrets, simhash, spm, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_predict(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3)
     return found.select(F.col("id").alias("doc_id"), simhash.hex64("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -38,10 +63,20 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_fingerprints": op2_fingerprints,
+    "op3_url_filter": op3_url_filter,
+    "op4_pii": op4_pii,
+    "op5_secrets": op5_secrets,
+    "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substrings": op10_substrings,
 }
 
-ORACLES: dict[str, str] = {}
+#: Where SQL can't express a query it is tested against a brute-force version or held-out accuracy.
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op3_url_filter": urlfilter.ORACLE,
+}
