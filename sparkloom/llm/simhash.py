@@ -117,11 +117,96 @@ def hex64(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; of several rows with that id, all with its text.
+# Groups by similarity: copies whose shingles overlap by four fifths differ in far more than three of 64 bits, so the
+# deduplicating stage takes 256 bits and a share of differing bits instead.
 
-    Rows without an id are kept.
+WIDE = 4
+SEGMENTS = 8
+
+
+def wide_fingerprint(text: bytes | None, shingle: int) -> tuple[int, ...]:
+    """Four signed 64-bit SimHash words of one text; the further words' hashes are mixed from the first's."""
+    words = (text or b"").lower().split()
+    if not words:
+        return (0,) * WIDE
+    last = max(1, len(words) - shingle + 1)
+    ones = np.zeros((WIDE, 64), np.int64)
+    for begin in range(0, last, BLOCK):
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(begin, min(last, begin + BLOCK))], np.uint64)
+        for k in range(WIDE):
+            x = h
+            if k:
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                x ^= x >> np.uint64(29)
+            ones[k] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return tuple(np.packbits(ones * 2 > last, axis=1).view(">i8").ravel().tolist())
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, f0, f1, f2, f3) for every row."""
+    names = ["id", *(f"f{k}" for k in range(WIDE))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(x, shingle) for x in utf8(batch.column(1))], np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE))], names=names)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"f{k} bigint" for k in range(WIDE)))
+
+
+def _apart(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}f{k}").bitwiseXOR(F.col(f"{b}f{k}"))) for k in range(WIDE)), F.lit(0))
+
+
+def similar_groups(fps: DataFrame, most: int, leaders: int = 8) -> DataFrame:
+    """(id, component) of the rows of ``fps`` (id, f0 to f3; all different) that link at ``most`` differing bits or fewer.
+
+    Multi-index hashing over eight segments of 16 bits: every row looks up the Hamming ball of one bit around each of
+    its segments and verifies the complete distance. First a row meets at most ``leaders`` rows in each place it looks
+    up (the smallest ids by a hash's remainder), which joins large groups without their pairs. Then, where a
+    place holds more rows, the others are met too, but only by rows of components that aren't joined yet.
+    """
+    segment = [F.shiftright(f"f{s // 4}", 16 * (s % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int") for s in range(SEGMENTS)]
+    cell = F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), segment[s].alias("val")) for s in range(SEGMENTS))))
+    words = [f"f{k}" for k in range(WIDE)]
+    table = fps.select("id", *words, cell.alias("c")).select("id", *words, (F.col("c.seg") * 65536 + F.col("c.val")).alias("key"))
+    lead = stage(table.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("lane")).agg(F.count("*").alias("n"), F.min(F.struct("id", *words)).alias("r")))
+    near = F.explode(F.array(*(F.lit(m) for m in ball(16, 1)))).alias("mask")
+    asked = table.select("*", near).select(F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "id", *words)
+    leads = lead.select("key", F.col("r.id").alias("b_id"), *(F.col(f"r.{w}").alias(f"b_{w}") for w in words))
+    edges = stage(asked.join(leads, "key").where((F.col("id") != F.col("b_id")) & (_apart("", "b_") <= most)).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct())
+    crowded = stage(lead.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("led")).where("n > led").select("key"))
+    if crowded.head(1):
+        joined = connected_components(edges)
+        named = stage(fps.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", *words, F.coalesce("component", "id").alias("comp")))
+        held = named.select("id", "comp", *words, cell.alias("c")).select("id", "comp", *words, (F.col("c.seg") * 65536 + F.col("c.val")).alias("key")).join(crowded, "key", "left_semi")
+        held = stage(held.join(leads.select("key", F.col("b_id").alias("id")), ["key", "id"], "left_anti"))
+        probes = named.select("id", "comp", *words, cell.alias("c")).select("*", near)
+        probes = probes.select("id", "comp", *words, (F.col("c.seg") * 65536 + F.col("c.val")).bitwiseXOR(F.col("mask")).alias("key")).join(held.select("key").distinct(), "key", "left_semi")
+        probes = stage(probes)
+        # which components meet in a place, without the pairs of one component
+        meets = probes.select("key", "comp").distinct().join(held.select("key", F.col("comp").alias("b_comp")).distinct(), "key").where("comp != b_comp")
+        other = held.select("key", F.col("comp").alias("b_comp"), F.col("id").alias("b_id"), *(F.col(w).alias(f"b_{w}") for w in words))
+        more = probes.join(meets, ["key", "comp"]).join(other, ["key", "b_comp"]).where(_apart("", "b_") <= most)
+        edges = edges.unionAll(more.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct())
+    return connected_components(edges).select(F.col("node").alias("id"), "component")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are near copies of a row with a smaller id, directly or over others.
+
+    Rows link where their SimHash over ``shingle``-word shingles differs by at most the share of bits that shingle sets
+    of that Jaccard similarity are expected to differ by. Rows without an id are kept; of rows with one id and one
+    fingerprint all stay or go together.
     """
-    found = near_duplicates(docs, radius, shingle, id_col=id_col, text_col=text_col)
-    gone = found.where("id is not null and id != component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    cosine = 2 * similarity / (1 + similarity)
+    most = int(np.floor(np.arccos(cosine) / np.pi * 64 * WIDE)) + 3  # and half a standard deviation
+    words = [f"f{k}" for k in range(WIDE)]
+    rows = stage(wide_fingerprints(docs, shingle, id_col, text_col))
+    distinct = stage(rows.where("id is not null").groupBy(*words).agg(F.min("id").alias("id")).groupBy("id").agg(*(F.min(F.struct(*words))[w].alias(w) for w in words)))
+    groups = similar_groups(distinct, most)
+    firsts = stage(rows.where("id is not null").groupBy(*words).agg(F.min("id").alias("first")))
+    # a fingerprint keeps its smallest id only if that is also the smallest of its group
+    kept = stage(firsts.join(groups.withColumnRenamed("id", "first"), "first", "left").where("component is null or component = first").select("first").distinct())
+    return docs.join(kept.select(F.col("first").alias(id_col)), id_col, "left_semi").unionAll(docs.where(F.col(id_col).isNull()))
