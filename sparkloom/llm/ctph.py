@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, utf8
-from .substrings import LETTER, _mix, _power
+from .substrings import BASE, LETTER, _mix, _power
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 SPAN = 7
@@ -39,27 +39,24 @@ def _marks(data: np.ndarray) -> np.ndarray:
         for j in range(min(SPAN, size)):
             rolled[j:] += value[: size - j] * np.uint64(2 * j + 1 << 7 | 1)
         rolled = _mix(rolled)[skip:]
-        low = ~rolled & (rolled + np.uint64(1))  # the lowest zero bit
-        level = np.zeros(len(low), np.uint8)
-        some = low > 0
-        level[some] = np.log2(low[some].astype(np.float64)).astype(np.uint8)
-        level[~some] = 64
+        low = ~rolled & (rolled + np.uint64(1))  # the lowest zero bit; none is left of 64 ones
+        level = np.bitwise_count(low - np.uint64(1))
         out[a : a + BLOCK] = level
     return out
 
 
-def _signature(data: np.ndarray, ends: np.ndarray) -> str:
-    """A letter for each chunk; ends are the places after the boundaries."""
-    ends = ends if len(ends) and ends[-1] == len(data) else np.r_[ends, len(data)]
-    out, begin, power = [], 0, _power(BLOCK)[0]
-    for end in ends.tolist():
-        total = np.uint64(0)
-        for a in range(begin, end, BLOCK):  # in blocks: a chunk may be as long as the text
-            part = data[a : min(end, a + BLOCK)]
-            total = total * np.uint64(0x9E3779B97F4A7C15) + (LETTER[part] * power[: len(part)]).sum(dtype=np.uint64)
-        out.append(int(_mix(np.array([total], np.uint64))[0] >> np.uint64(58)))
-        begin = end
-    return ALPHABET[out].tobytes().decode()
+def _letters(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A letter for each chunk, from a hash that doesn't depend on where it stands."""
+    power, inverse = _power(BLOCK)
+    total = np.zeros(len(begin), np.uint64)
+    for a in range(0, len(data), BLOCK):
+        part = LETTER[data[a : a + BLOCK]]
+        summed = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power[: len(part)], out=summed[1:])
+        here = summed[(end - a).clip(0, len(part))] - summed[(begin - a).clip(0, len(part))]
+        total += here * np.uint64(pow(BASE, a, 1 << 64))
+    back = inverse[begin] if begin.max() < BLOCK else np.array([pow(BASE, -int(b), 1 << 64) for b in begin], np.uint64)
+    return ALPHABET[(_mix(total * back) >> np.uint64(58)).astype(np.int64)]
 
 
 def fingerprint(text: bytes | None) -> str:
@@ -73,7 +70,15 @@ def fingerprint(text: bytes | None) -> str:
     level = marks[places]
     count = np.bincount(level, minlength=LEVELS + 2)[::-1].cumsum()[::-1]
     k = next(k for k in range(1, LEVELS + 1) if count[k] < 63 or k == LEVELS)
-    return f"{k}:{_signature(data, places[level >= k] + 1)}:{_signature(data, places[level >= k + 1] + 1)}"
+    begin, end, cut = [], [], 0
+    for at in (level >= k, level >= k + 1):
+        ends = places[at] + 1
+        ends = ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
+        begin += [[0], ends[:-1]]
+        end.append(ends)
+        cut = cut or len(ends)
+    letters = _letters(data, np.concatenate(begin), np.concatenate(end)).tobytes().decode()
+    return f"{k}:{letters[:cut]}:{letters[cut:]}"
 
 
 def likeness(a: str, b: str) -> Column:

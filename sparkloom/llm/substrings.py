@@ -50,7 +50,7 @@ _powers: list[np.ndarray] = []
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64 and their inverses, n of each."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(n - 1, 1).bit_length()
+        size = max(n, SLICE_BYTES + 4096)
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
     return _powers[0][:n], _powers[1][:n]
 
