@@ -35,13 +35,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A term that no text has: its one posting for each row stands behind the last word, so its place is the number of words.
+END = ""
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("copy"), words("text").alias("words"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings (term, doc_id, copy, pos) of all words; with ``terms`` (term, tid; staged) of those, and tid in place of term."""
-    postings = documents(docs, id_col, text_col).select("doc_id", "copy", F.posexplode("words").alias("pos", "term"))
+    """Stored postings (term, doc_id, copy, pos) of all words and END; with ``terms`` (term, tid; staged) of those, and tid in place of term."""
+    postings = documents(docs, id_col, text_col).select("doc_id", "copy", F.posexplode(F.array_append("words", END)).alias("pos", "term"))
     if terms is not None:
         postings = postings.join(_small(terms, broadcast_rows), "term").select("tid", "doc_id", "copy", "pos")
     return stage(postings)
@@ -53,7 +57,8 @@ def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col:
     rows = rows.select("item_id", words("text").alias("w")).where("size(w) > 0")
     each = stage(rows.select("item_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))).alias("i"), "w").select("item_id", F.slice("w", F.col("i"), size).alias("words")).distinct())
     distinct = stage(each.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()))
-    terms = stage(distinct.select(F.explode("words").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()))
+    named = distinct.select(F.explode("words").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id())
+    terms = stage(named.unionAll(items.sparkSession.createDataFrame([(END, -1)], "term string, tid bigint")))
     used = stage(each.join(distinct, "words").select("wid", "item_id"))
     spelled = distinct.select("wid", F.posexplode("words").alias("off", "term")).join(terms, "term").select("wid", "off", "tid")
     return stage(spelled), used, terms
@@ -61,7 +66,7 @@ def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col:
 
 def phrase_matches(index: DataFrame, spelled: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """(wid, len, doc_id, copy, start) of each place where all of a window's terms (wid, off, tid) stand in order."""
-    frequency = stage(index.groupBy("tid").agg(F.count("*").alias("n")))
+    frequency = stage(index.where("tid >= 0").groupBy("tid").agg(F.count("*").alias("n")))
     ranked = spelled.join(frequency, "tid", "left").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("n", "tid", "off"))).alias("r"))
     ranked = ranked.select("wid", F.size("r").alias("len"), F.col("r")[0].alias("a"), F.get("r", F.lit(1)).alias("b")).where("a.n is not null")
     plan = stage(ranked.select("wid", "len", F.col("a.tid").alias("tid"), F.col("a.off").alias("off"), F.col("b.tid").alias("tid2"), F.col("b.off").alias("off2")))
@@ -105,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_r
     hit = spans.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("doc_id", "copy").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))).alias("n_hit"))
     ids = matches.select("wid", "doc_id", "copy").distinct().join(used, "wid").groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     by = hit.join(ids, hit["doc_id"].eqNullSafe(ids["doc_id"]) & hit["copy"].eqNullSafe(ids["copy"])).select(hit["doc_id"].alias("d"), hit["copy"].alias("c"), "n_hit", "item_ids")
-    rows = documents(docs).select("doc_id", "copy", F.size("words").cast("bigint").alias("n_words"))
+    rows = index.where("tid = -1").select("doc_id", "copy", F.col("pos").cast("bigint").alias("n_words"))
     out = rows.join(by, F.expr("doc_id <=> d and copy <=> c"), "left")
     hits = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))

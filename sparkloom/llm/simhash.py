@@ -121,7 +121,6 @@ def hex64(fp: str) -> Column:
 # deduplicating stage takes 256 bits and a share of differing bits instead.
 
 WIDE = 4
-SEGMENTS = 8
 
 
 def wide_fingerprint(text: bytes | None, shingle: int) -> tuple[int, ...]:
@@ -159,37 +158,59 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}f{k}").bitwiseXOR(F.col(f"{b}f{k}"))) for k in range(WIDE)), F.lit(0))
 
 
-def similar_groups(fps: DataFrame, most: int, leaders: int = 8) -> DataFrame:
+def _segment(s: int, bits: int) -> Column:
+    """Bits s * bits and on of the fingerprint."""
+    word, off = divmod(s * bits, 64)
+    out = F.shiftrightunsigned(f"f{word}", off)
+    if off + bits > 64:
+        out = out.bitwiseOR(F.shiftleft(f"f{word + 1}", 64 - off))
+    return out.bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(s << bits)
+
+
+def _limited(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which is staged, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int = 8, broadcast_rows: int = 100_000) -> DataFrame:
     """(id, component) of the rows of ``fps`` (id, f0 to f3; all different) that link at ``most`` differing bits or fewer.
 
-    Multi-index hashing over eight segments of 16 bits: every row looks up the Hamming ball of one bit around each of
-    its segments and verifies the complete distance. First a row meets at most ``leaders`` rows in each place it looks
-    up (the smallest ids by a hash's remainder), which joins large groups without their pairs. Then, where a
-    place holds more rows, the others are met too, but only by rows of components that aren't joined yet.
+    Multi-index hashing: every row looks up the Hamming ball of one bit around each of its segments, of which each is a
+    bit longer than the logarithm of the number of rows, so that a place holds less than one row on average. Pairs are
+    verified by one fingerprint word where they meet, and those that are left by the complete distance. First a row
+    meets at most ``leaders`` rows in each place (the smallest ids by a hash's remainder), which joins large groups
+    without their pairs. Then, where a place holds more rows, the others are met too, but only by rows of components
+    that aren't joined yet.
     """
-    segment = [F.shiftright(f"f{s // 4}", 16 * (s % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int") for s in range(SEGMENTS)]
-    cell = F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), segment[s].alias("val")) for s in range(SEGMENTS))))
+    bits = min(25, max(8, int(np.ceil(np.log2(fps.count() + 1))) + 1))
     words = [f"f{k}" for k in range(WIDE)]
-    table = fps.select("id", *words, cell.alias("c")).select("id", *words, (F.col("c.seg") * 65536 + F.col("c.val")).alias("key"))
-    lead = stage(table.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("lane")).agg(F.count("*").alias("n"), F.min(F.struct("id", *words)).alias("r")))
-    near = F.explode(F.array(*(F.lit(m) for m in ball(16, 1)))).alias("mask")
-    asked = table.select("*", near).select(F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "id", *words)
-    leads = lead.select("key", F.col("r.id").alias("b_id"), *(F.col(f"r.{w}").alias(f"b_{w}") for w in words))
-    edges = stage(asked.join(leads, "key").where((F.col("id") != F.col("b_id")) & (_apart("", "b_") <= most)).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct())
+    near = F.explode(F.array(*(F.lit(m).cast("bigint") for m in ball(bits, 1)))).alias("mask")
+    word = f"f{WIDE - 1}"
+    close = F.bit_count(F.col(word).bitwiseXOR(F.col("b_word"))) <= int(most / WIDE + 9)  # three standard deviations more
+    cell = F.explode(F.array(*(_segment(s, bits) for s in range(segments)))).alias("cell")
+    table = fps.select("id", word, cell)
+    lead = stage(table.groupBy(F.col("cell").alias("key"), F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("lane")).agg(F.count("*").alias("n"), F.min(F.struct("id", word)).alias("r")))
+    leads = lead.select("key", F.col("r.id").alias("b_id"), F.col(f"r.{word}").alias("b_word"))
+    asked = table.select("*", near).select(F.col("cell").bitwiseXOR(F.col("mask")).alias("key"), "id", word)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
+        both = pairs.join(fps.withColumnRenamed("id", "a"), "a").join(fps.select(F.col("id").alias("b"), *(F.col(w).alias(f"b_{w}") for w in words)), "b")
+        return both.where(_apart("", "b_") <= most).select("a", "b")
+
+    edges = stage(verified(asked.join(leads, "key").where((F.col("id") != F.col("b_id")) & close)))
     crowded = stage(lead.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("led")).where("n > led").select("key"))
     if crowded.head(1):
         joined = connected_components(edges)
-        named = stage(fps.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", *words, F.coalesce("component", "id").alias("comp")))
-        held = named.select("id", "comp", *words, cell.alias("c")).select("id", "comp", *words, (F.col("c.seg") * 65536 + F.col("c.val")).alias("key")).join(crowded, "key", "left_semi")
-        held = stage(held.join(leads.select("key", F.col("b_id").alias("id")), ["key", "id"], "left_anti"))
-        probes = named.select("id", "comp", *words, cell.alias("c")).select("*", near)
-        probes = probes.select("id", "comp", *words, (F.col("c.seg") * 65536 + F.col("c.val")).bitwiseXOR(F.col("mask")).alias("key")).join(held.select("key").distinct(), "key", "left_semi")
-        probes = stage(probes)
+        named = stage(fps.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", word, *[w for w in words if w != word], F.coalesce("component", "id").alias("comp")))
+        here = _limited(crowded, broadcast_rows)
+        places = named.select("id", "comp", word, cell)
+        held = stage(places.withColumnRenamed("cell", "key").join(here, "key", "left_semi").join(leads.select("key", F.col("b_id").alias("id")), ["key", "id"], "left_anti"))
+        probes = stage(places.select("*", near).select(F.col("cell").bitwiseXOR(F.col("mask")).alias("key"), "id", "comp", word).join(here, "key", "left_semi"))
         # which components meet in a place, without the pairs of one component
         meets = probes.select("key", "comp").distinct().join(held.select("key", F.col("comp").alias("b_comp")).distinct(), "key").where("comp != b_comp")
-        other = held.select("key", F.col("comp").alias("b_comp"), F.col("id").alias("b_id"), *(F.col(w).alias(f"b_{w}") for w in words))
-        more = probes.join(meets, ["key", "comp"]).join(other, ["key", "b_comp"]).where(_apart("", "b_") <= most)
-        edges = edges.unionAll(more.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct())
+        other = held.select("key", F.col("comp").alias("b_comp"), F.col("id").alias("b_id"), F.col(word).alias("b_word"))
+        edges = edges.unionAll(verified(probes.join(meets, ["key", "comp"]).join(other, ["key", "b_comp"]).where(close)))
     return connected_components(edges).select(F.col("node").alias("id"), "component")
 
 

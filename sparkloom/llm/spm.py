@@ -2,7 +2,7 @@
 
 Distinct words of a slice of texts lie in one flat numpy array of symbols. Each round finds, for every word, the
 adjacent pair with the best rank (the leftmost of equals), merges those pairs all at once and compacts the array, until
-no word has a pair left. Words are separate because no piece of the vocabulary holds a space mark after another
+no word has a pair left; words of very many characters are merged with a heap instead. Words are separate because no piece of the vocabulary holds a space mark after another
 character; a vocabulary with such pieces is encoded as one word per text.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; other columns are ignored.
@@ -11,12 +11,15 @@ Defined cases: null and empty texts have no ids and decode to the empty text; ot
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,11 @@ from .common import slices
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Distinct words that a task remembers between slices before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Longer words than this are merged one by one with a heap: their rounds would be as many as their merges.
+LONG_WORD = 2_000
+#: Bytes of text that are encoded at a time.
+SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -37,7 +44,8 @@ class Model:
     merged: np.ndarray
     width: int
     chars: dict[str, int]
-    surface: list[bytes]  # text of each id; for bytes see raw
+    surface: list[str | None]  # text of each id; None for bytes, see raw
+    names: list[str]  # each id in decimal
     raw: dict[int, int]  # id -> byte
     byte_id: np.ndarray
     marked: frozenset[int]
@@ -72,9 +80,9 @@ class Model:
         byte_id = np.full(256, sp.unk_id(), np.int32)
         for i, b in raw.items():
             byte_id[b] = i
-        surface = [b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else text[i].replace(SPACE, " ").encode() for i in range(n)]
+        surface = [None if i in raw else "" if sp.is_control(i) else " \u2047 " if sp.is_unknown(i) else text[i].replace(SPACE, " ") for i in range(n)]
         return Model(
-            table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32), width, chars, surface, raw, byte_id, frozenset(i for i in plain if text[i][0] == SPACE), n,
+            table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32), width, chars, surface, list(map(str, range(n))), raw, byte_id, frozenset(i for i in plain if text[i][0] == SPACE), n,
             not any(SPACE in p.lstrip(SPACE) for p in at), bool(sp.encode("a")) and sp.id_to_piece(sp.encode("a")[0]).startswith(SPACE),
         )
 
@@ -91,8 +99,40 @@ class Model:
         hit = known & (self.pairs[at] == key) if len(self.pairs) else np.zeros(len(key), bool)
         return np.where(hit, self.rank[at], NONE), np.where(hit, self.merged[at], -1)
 
+    def _encode_long(self, word: str) -> list[int]:
+        """Ids of one word by merging the best pair again and again, in time of n log n."""
+        text = word.replace(" ", SPACE)
+        symbol = [self.chars.get(c, -1) for c in text]
+        after, before = [*range(1, len(text)), -1], [-1, *range(len(text) - 1)]
+        alive = [True] * len(text)
+        rank, into = (x.tolist() for x in self._ranks(np.array(symbol[:-1], np.int32), np.array(symbol[1:], np.int32)))
+        heap = [(r, i, symbol[i], symbol[i + 1], m) for i, (r, m) in enumerate(zip(rank, into, strict=True)) if r < NONE]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right, merged = heapq.heappop(heap)
+            j = after[i] if alive[i] else -1
+            if j < 0 or symbol[i] != left or symbol[j] != right:
+                continue
+            symbol[i], alive[j], after[i] = merged, False, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and symbol[a] >= 0 and symbol[b] >= 0:
+                    key = symbol[a] * self.width + symbol[b]
+                    at = bisect_left(self.pairs, key)
+                    if at < len(self.pairs) and self.pairs[at] == key:
+                        heapq.heappush(heap, (int(self.rank[at]), a, symbol[a], symbol[b], int(self.merged[at])))
+        out: list[int] = []
+        for i, s in enumerate(symbol):
+            if alive[i]:
+                out.extend([s] if 0 <= s < self.pieces else self.byte_id[list(text[i].encode())].tolist())
+        return out
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (a space stands for the space mark)."""
+        if any(len(w) > LONG_WORD for w in words):
+            short = iter(self.encode_words([w for w in words if len(w) <= LONG_WORD]))
+            return [self._encode_long(w) if len(w) > LONG_WORD else next(short) for w in words]
         if not words:
             return []
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -158,6 +198,10 @@ class Model:
 
     def joined(self, ids: list[int]) -> str:
         """The pieces' text, the first space mark included."""
+        try:
+            return "".join([self.surface[i] for i in ids])  # fails on the ids of bytes, which have no text of their own
+        except TypeError:
+            pass
         out: list[str] = []
         pending = bytearray()
         for i in ids:
@@ -167,7 +211,7 @@ class Model:
             if pending:
                 out.append(_loose(bytes(pending)))
                 pending.clear()
-            out.append(self.surface[i].decode())
+            out.append(self.surface[i])
         if pending:
             out.append(_loose(bytes(pending)))
         return "".join(out)
@@ -204,29 +248,30 @@ def encode(docs: DataFrame, model: Model, decode: bool = True, digest: bool = Fa
     """(id, ids, decoded) for every row, or with ``digest`` (id, n_tokens, ids_sha256, decoded_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[list[int], str, int, str]] = {}
+        text_of: dict[str, str] = {}
+        ids_of: dict[str, np.ndarray | str] = {}
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            outs: list[tuple] = []
-            for a, b in slices([len(x) for x in texts], 2 << 20):
-                each = [model.words(x) for x in texts[a:b]]
-                if len(memo) > REMEMBERED:
-                    memo.clear()
-                fresh = [w for w in {w for ws in each for w in ws} if w not in memo]
+            texts = batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for a, b in slices([max(256, n) for n in sizes], SLICE):  # a result for each slice, so that memory is bounded
+                each = [model.words(x or "") for x in texts.slice(a, b - a).to_pylist()]
+                if len(ids_of) > REMEMBERED:
+                    text_of.clear()
+                    ids_of.clear()
+                fresh = [w for w in {w for ws in each for w in ws} if w not in ids_of]
                 for w, ids in zip(fresh, model.encode_words(fresh), strict=True):
-                    memo[w] = (ids, ",".join(map(str, ids)), len(ids), model.joined(ids) if decode else "")
-                for ws in each:
-                    got = [memo[w] for w in ws]
-                    text = "".join([g[3] for g in got])
-                    text = text[1:] if model.prefix else text
-                    if digest:
-                        ids = ",".join([g[1] for g in got])
-                        outs.append((sum([g[2] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-                    else:
-                        outs.append(([i for g in got for i in g[0]], text if decode else None))
-            kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*outs, strict=True), kinds, strict=True)] if outs else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+                    ids_of[w] = ",".join([model.names[i] for i in ids]) if digest else np.array(ids, np.int32)
+                    text_of[w] = model.joined(ids) if decode else ""
+                decoded = ["".join([text_of[w] for w in ws])[1 if model.prefix else 0 :] for ws in each]
+                columns = [batch.column(0).slice(a, b - a)]
+                if digest:
+                    joined = [",".join([ids_of[w] for w in ws]) for ws in each]
+                    columns += [pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())]
+                else:
+                    parts = [np.concatenate([ids_of[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in each]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+                    columns += [lists, pa.array(decoded if decode else [None] * len(each), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"))
