@@ -80,8 +80,6 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 2e-4, steps: int
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     weights, base = np.zeros(1 << BITS), np.array([-2.0])
     gaps = np.zeros(max(0, top - 1))  # logarithms of the thresholds' distances
-    share = 1 / np.bincount(grades, minlength=top + 1).clip(1)
-    case = share[grades] / share[grades].sum()  # each grade weighs the same
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, base, gaps)]
 
     for step in range(1, steps + 1):
@@ -97,7 +95,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 2e-4, steps: int
         low, high = grades > 0, grades < top
         d[each[low], grades[low] - 1] += slope[each[low], grades[low]] / chance[low]
         d[each[high], grades[high]] -= slope[each[high], grades[high] + 1] / chance[high]
-        d *= case[:, None]
+        d /= len(grades)  # rows weigh the same, so a text that shows nothing gets the grades' own shares
         by_threshold = -d.sum(0)
         grads = (
             -(np.bincount(index, weights=d.sum(1)[owner], minlength=len(weights)) - l2 * weights),
