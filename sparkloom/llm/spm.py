@@ -27,8 +27,8 @@ from .common import slices
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
-#: Distinct words that a task remembers between slices before it starts anew.
-REMEMBERED = 300_000
+#: Distinct words that a task remembers between slices before it starts anew: with ids, with digests only.
+REMEMBERED = (200_000, 600_000)
 #: Longer words than this are merged one by one with a heap: their rounds would be as many as their merges.
 LONG_WORD = 2_000
 #: Bytes of text that are encoded at a time.
@@ -138,10 +138,12 @@ class Model:
         length = np.fromiter(map(len, words), np.int64, len(words))
         flat = "".join(words).replace(" ", SPACE)
         point = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
-        distinct, inverse = np.unique(point, return_inverse=True)
-        known = np.array([self.chars.get(chr(c), -1) for c in distinct], np.int32)
-        origin = known[inverse]
-        symbol, word = origin.copy(), np.repeat(np.arange(len(words)), length)
+        seen = np.zeros(0x110000, bool)
+        seen[point] = True
+        known = np.full(0x110000, -1, np.int32)
+        for c in np.flatnonzero(seen).tolist():
+            known[c] = self.chars.get(chr(c), -1)
+        symbol, word = known[point], np.repeat(np.arange(len(words)), length)
         place = np.arange(len(symbol))  # of each symbol's first character
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rank, into = np.full(len(symbol), NONE, np.int32), np.full(len(symbol), -1, np.int32)  # of each symbol with the next
@@ -169,7 +171,7 @@ class Model:
             keep[first + 1] = False
             moved = np.cumsum(keep)[first] - 1
             symbol, word, place, rank, into = (x[keep] for x in (symbol, word, place, rank, into))
-            touched = np.unique(np.r_[moved, np.maximum(moved - 1, 0)])
+            touched = np.concatenate((moved, np.maximum(moved - 1, 0)))
             last = touched + 1 >= len(symbol)
             inner = touched[~last]
             inner = inner[word[inner] == word[inner + 1]]
@@ -178,16 +180,13 @@ class Model:
         symbol, word, place = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(place)
         symbol, word, place = symbol[order], word[order], place[order]
-        out: list[list[int]] = [[] for _ in words]
-        bounds = np.searchsorted(word, np.arange(len(words) + 1))
-        if ((symbol < 0) | (symbol >= self.pieces)).any():  # characters without a piece become their bytes
-            for i in range(len(words)):
-                for s, p in zip(symbol[bounds[i] : bounds[i + 1]].tolist(), place[bounds[i] : bounds[i + 1]].tolist(), strict=True):
-                    out[i].extend([s] if 0 <= s < self.pieces else self.byte_id[list(flat[p].encode())].tolist())
-        else:
-            ids = symbol.tolist()
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                out[i] = ids[a:b]
+        bounds = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        ids = symbol.tolist()
+        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        strange = (symbol < 0) | (symbol >= self.pieces)
+        for i in np.unique(word[strange]).tolist():  # characters without a piece become their bytes
+            a, b = bounds[i], bounds[i + 1]
+            out[i] = [x for s, p in zip(ids[a:b], place[a:b].tolist(), strict=True) for x in ([s] if 0 <= s < self.pieces else self.byte_id[list(flat[p].encode())].tolist())]
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -249,27 +248,28 @@ def encode(docs: DataFrame, model: Model, decode: bool = True, digest: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of: dict[str, str] = {}
-        ids_of: dict[str, np.ndarray | str] = {}
+        ids_of: dict[str, bytes | str] = {}
         for batch in batches:
             texts = batch.column(1)
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for a, b in slices([max(256, n) for n in sizes], SLICE):  # a result for each slice, so that memory is bounded
                 each = [model.words(x or "") for x in texts.slice(a, b - a).to_pylist()]
-                if len(ids_of) > REMEMBERED:
+                if len(ids_of) > REMEMBERED[digest]:
                     text_of.clear()
                     ids_of.clear()
                 fresh = [w for w in {w for ws in each for w in ws} if w not in ids_of]
                 for w, ids in zip(fresh, model.encode_words(fresh), strict=True):
-                    ids_of[w] = ",".join([model.names[i] for i in ids]) if digest else np.array(ids, np.int32)
-                    text_of[w] = model.joined(ids) if decode else ""
+                    ids_of[w] = ",".join([model.names[i] for i in ids]) if digest else np.array(ids, np.int32).tobytes()
+                    text = model.joined(ids) if decode else ""
+                    text_of[w] = w if text == w else text
                 decoded = ["".join([text_of[w] for w in ws])[1 if model.prefix else 0 :] for ws in each]
                 columns = [batch.column(0).slice(a, b - a)]
                 if digest:
                     joined = [",".join([ids_of[w] for w in ws]) for ws in each]
                     columns += [pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())]
                 else:
-                    parts = [np.concatenate([ids_of[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in each]
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+                    parts = [b"".join([ids_of[w] for w in ws]) for ws in each]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in parts)]), pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
                     columns += [lists, pa.array(decoded if decode else [None] * len(each), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
