@@ -172,17 +172,17 @@ def _limited(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int = 8, broadcast_rows: int = 100_000) -> DataFrame:
+def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int = 1, broadcast_rows: int = 500_000) -> DataFrame:
     """(id, component) of the rows of ``fps`` (id, f0 to f3; all different) that link at ``most`` differing bits or fewer.
 
-    Multi-index hashing: every row looks up the Hamming ball of one bit around each of its segments, of which each is a
-    bit longer than the logarithm of the number of rows, so that a place holds less than one row on average. Pairs are
+    Multi-index hashing: every row looks up the Hamming ball of one bit around each of its segments, of which each is
+    two bits longer than the logarithm of the number of rows, so that a place rarely holds two unlike rows. Pairs are
     verified by one fingerprint word where they meet, and those that are left by the complete distance. First a row
-    meets at most ``leaders`` rows in each place (the smallest ids by a hash's remainder), which joins large groups
+    meets at most ``leaders`` rows in each place (the smallest ids, by a hash's remainder), which joins large groups
     without their pairs. Then, where a place holds more rows, the others are met too, but only by rows of components
     that aren't joined yet.
     """
-    bits = min(25, max(8, int(np.ceil(np.log2(fps.count() + 1))) + 1))
+    bits = min(25, max(8, int(np.ceil(np.log2(fps.count() + 1))) + 2))
     words = [f"f{k}" for k in range(WIDE)]
     near = F.explode(F.array(*(F.lit(m).cast("bigint") for m in ball(bits, 1)))).alias("mask")
     word = f"f{WIDE - 1}"
