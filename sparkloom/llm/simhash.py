@@ -179,8 +179,11 @@ def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int =
     two bits longer than the logarithm of the number of rows, so that a place rarely holds two unlike rows. Pairs are
     verified by one fingerprint word where they meet, and those that are left by the complete distance. First a row
     meets at most ``leaders`` rows in each place (the smallest ids, by a hash's remainder), which joins large groups
-    without their pairs. Then, where a place holds more rows, the others are met too, but only by rows of components
-    that aren't joined yet.
+    without their pairs. Of two leaders whose places differ by a bit, only the one without that bit looks up the other.
+    Then rows that don't lead their place meet each other there, but only if their components aren't joined yet, and
+    each two components once; they carry the complete fingerprint, so that unlike rows end where they meet.
+
+    Tables of places grow with the rows at any size, so their joins are merges, never broadcasts, on small inputs too.
     """
     bits = min(25, max(8, int(np.ceil(np.log2(fps.count() + 1))) + 2))
     words = [f"f{k}" for k in range(WIDE)]
@@ -188,29 +191,28 @@ def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int =
     word = f"f{WIDE - 1}"
     close = F.bit_count(F.col(word).bitwiseXOR(F.col("b_word"))) <= int(most / WIDE + 9)  # three standard deviations more
     cell = F.explode(F.array(*(_segment(s, bits) for s in range(segments)))).alias("cell")
+    reached = F.col("cell").bitwiseXOR(F.col("mask")).alias("key")
     table = fps.select("id", word, cell)
-    lead = stage(table.groupBy(F.col("cell").alias("key"), F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("lane")).agg(F.count("*").alias("n"), F.min(F.struct("id", word)).alias("r")))
+    lead = stage(table.groupBy(F.col("cell").alias("key"), F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("lane")).agg(F.min(F.struct("id", word)).alias("r")))
     leads = lead.select("key", F.col("r.id").alias("b_id"), F.col(f"r.{word}").alias("b_word"))
-    asked = table.select("*", near).select(F.col("cell").bitwiseXOR(F.col("mask")).alias("key"), "id", word)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
-        both = pairs.join(fps.withColumnRenamed("id", "a"), "a").join(fps.select(F.col("id").alias("b"), *(F.col(w).alias(f"b_{w}") for w in words)), "b")
-        return both.where(_apart("", "b_") <= most).select("a", "b")
-
-    edges = stage(verified(asked.join(leads, "key").where((F.col("id") != F.col("b_id")) & close)))
-    crowded = stage(lead.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("led")).where("n > led").select("key"))
-    if crowded.head(1):
-        joined = connected_components(edges)
-        named = stage(fps.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", word, *[w for w in words if w != word], F.coalesce("component", "id").alias("comp")))
-        here = _limited(crowded, broadcast_rows)
-        places = named.select("id", "comp", word, cell)
-        held = stage(places.withColumnRenamed("cell", "key").join(here, "key", "left_semi").join(leads.select("key", F.col("b_id").alias("id")), ["key", "id"], "left_anti"))
-        probes = stage(places.select("*", near).select(F.col("cell").bitwiseXOR(F.col("mask")).alias("key"), "id", "comp", word).join(here, "key", "left_semi"))
+    led = lead.select(F.col("key").alias("cell"), F.col("r.id").alias("id"), F.lit(True).alias("led"))
+    table = stage(table.join(led.hint("merge"), ["cell", "id"], "left").withColumn("led", F.coalesce("led", F.lit(False))))
+    asked = table.select("*", near).where("not led or (cell & mask) = 0").select(reached, "id", word)
+    pairs = asked.join(leads.hint("merge"), "key").where((F.col("id") != F.col("b_id")) & close)
+    pairs = stage(pairs.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
+    other = fps.select(F.col("id").alias("b"), *(F.col(w).alias(f"b_{w}") for w in words))
+    edges = stage(pairs.join(fps.withColumnRenamed("id", "a"), "a").join(other, "b").where(_apart("", "b_") <= most).select("a", "b"))
+    rest = table.where("not led").select("id", "cell")
+    if rest.head(1):
+        named = stage(fps.join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", *words, F.coalesce("component", "id").alias("comp")))
+        held = stage(rest.join(named, "id"))
+        here = _limited(stage(held.select(F.col("cell").alias("key")).distinct()), broadcast_rows)
+        probes = stage(held.select("*", near).select(reached, "id", "comp", *words).join(here, "key", "left_semi"))
+        held = held.select(F.col("cell").alias("key"), F.col("id").alias("b_id"), F.col("comp").alias("b_comp"), *(F.col(w).alias(f"b_{w}") for w in words))
         # which components meet in a place, without the pairs of one component
-        meets = probes.select("key", "comp").distinct().join(held.select("key", F.col("comp").alias("b_comp")).distinct(), "key").where("comp != b_comp")
-        other = held.select("key", F.col("comp").alias("b_comp"), F.col("id").alias("b_id"), F.col(word).alias("b_word"))
-        edges = edges.unionAll(verified(probes.join(meets, ["key", "comp"]).join(other, ["key", "b_comp"]).where(close)))
+        meets = probes.select("key", "comp").distinct().join(held.select("key", "b_comp").distinct(), "key").where("comp < b_comp")
+        met = probes.join(meets, ["key", "comp"]).join(held, ["key", "b_comp"]).where(_apart("", "b_") <= most)
+        edges = edges.unionAll(met.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
     return connected_components(edges).select(F.col("node").alias("id"), "component")
 
 
