@@ -211,7 +211,7 @@ def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int =
         held = held.select(F.col("cell").alias("key"), F.col("id").alias("b_id"), F.col("comp").alias("b_comp"), *(F.col(w).alias(f"b_{w}") for w in words))
         # which components meet in a place, without the pairs of one component
         meets = probes.select("key", "comp").distinct().join(held.select("key", "b_comp").distinct(), "key").where("comp < b_comp")
-        met = probes.join(meets, ["key", "comp"]).join(held, ["key", "b_comp"]).where(_apart("", "b_") <= most)
+        met = meets.join(held, ["key", "b_comp"]).join(probes, ["key", "comp"]).where(_apart("", "b_") <= most)
         edges = edges.unionAll(met.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
     return connected_components(edges).select(F.col("node").alias("id"), "component")
 
