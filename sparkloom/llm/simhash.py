@@ -216,12 +216,12 @@ def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int =
     return connected_components(edges).select(F.col("node").alias("id"), "component")
 
 
-def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are near copies of a row with a smaller id, directly or over others.
 
     Rows link where their SimHash over ``shingle``-word shingles differs by at most the share of bits that shingle sets
     of that Jaccard similarity are expected to differ by. Rows without an id are kept; of rows with one id and one
-    fingerprint all stay or go together.
+    fingerprint all stay or go together. Texts are shuffled only if more than ``broadcast_rows`` ids go.
     """
     cosine = 2 * similarity / (1 + similarity)
     most = int(np.floor(np.arccos(cosine) / np.pi * 64 * WIDE)) + 3  # and half a standard deviation
@@ -232,4 +232,5 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     firsts = stage(rows.where("id is not null").groupBy(*words).agg(F.min("id").alias("first")))
     # a fingerprint keeps its smallest id only if that is also the smallest of its group
     kept = stage(firsts.join(groups.withColumnRenamed("id", "first"), "first", "left").where("component is null or component = first").select("first").distinct())
-    return docs.join(kept.select(F.col("first").alias(id_col)), id_col, "left_semi").unionAll(docs.where(F.col(id_col).isNull()))
+    gone = stage(rows.where("id is not null").select("id").distinct().join(kept, F.col("id") == F.col("first"), "left_anti"))
+    return docs.join(_limited(gone.select(F.col("id").alias("_gone")), broadcast_rows), F.col(id_col) == F.col("_gone"), "left_anti")
