@@ -122,9 +122,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, share: float = 0.0, broadcast_rows: int = 200_000) -> DataFrame:
-    """The rows of ``docs`` without those of which more than ``share`` of the words are hit."""
+    """The rows of ``docs`` without those of which more than ``share`` of the words are hit.
+
+    Texts are shuffled only if more than ``broadcast_rows`` rows go.
+    """
     found = contamination(docs, items, size, broadcast_rows).where(f"n_hit > {share} * n_words").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_c")), "left_anti")
+    return docs.join(_small(stage(found), broadcast_rows), docs["doc_id"].eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_c")), "left_anti")
 
 
 #: The same rows in SQL for DuckDB, by joining every place of every window.
