@@ -127,7 +127,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, share:
     Texts are shuffled only if more than ``broadcast_rows`` rows go.
     """
     found = contamination(docs, items, size, broadcast_rows).where(f"n_hit > {share} * n_words").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c")).distinct()
-    return docs.join(_small(stage(found), broadcast_rows), docs["doc_id"].eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_c")), "left_anti")
+    found = _small(stage(found), broadcast_rows)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(found["_c"]), "left_anti")
 
 
 #: The same rows in SQL for DuckDB, by joining every place of every window.

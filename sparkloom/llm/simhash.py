@@ -233,4 +233,4 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, broad
     # a fingerprint keeps its smallest id only if that is also the smallest of its group
     kept = stage(firsts.join(groups.withColumnRenamed("id", "first"), "first", "left").where("component is null or component = first").select("first").distinct())
     gone = stage(rows.where("id is not null").select("id").distinct().join(kept, F.col("id") == F.col("first"), "left_anti"))
-    return docs.join(_limited(gone.select(F.col("id").alias("_gone")), broadcast_rows), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(_limited(gone.select(F.col("id").alias(id_col)), broadcast_rows), id_col, "left_anti")
