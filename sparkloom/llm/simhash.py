@@ -17,7 +17,7 @@ besides the two that are used are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -118,53 +118,62 @@ def hex64(fp: str) -> Column:
 
 
 # Groups by similarity: copies whose shingles overlap by four fifths differ in far more than three of 64 bits, so the
-# deduplicating stage takes 256 bits and a share of differing bits instead.
+# deduplicating stage takes 256 bits and a share of differing bits instead. Segments of those bits would have to be
+# longer, and so weaker, the more rows there are; rows meet in bands of smallest shingle hashes, whose recall is the
+# same at every size.
 
 WIDE = 4
+#: Bands of so many smallest hashes: sets of Jaccard similarity s share a band with 1 - (1 - s ** BAND) ** BANDS, which is
+#: 0.999 at 0.8 and 0.14 at 0.5, however many rows there are.
+BANDS, BAND = 40, 8
+_FACTORS, _SHIFTS = np.random.RandomState(42).randint(0, 1 << 32, (2, BANDS * BAND, 1), np.uint64).astype(np.uint32)
+_FACTORS |= np.uint32(1)
 
 
-def wide_fingerprint(text: bytes | None, shingle: int) -> tuple[int, ...]:
-    """Four signed 64-bit SimHash words of one text; the further words' hashes are mixed from the first's."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of one text, in its order."""
     words = (text or b"").lower().split()
-    if not words:
-        return (0,) * WIDE
-    last = max(1, len(words) - shingle + 1)
+    last = max(1, len(words) - shingle + 1) if words else 0
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(last)), np.uint64, last)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, ...]:
+    """Four signed 64-bit SimHash words of shingle hashes; the further words' hashes are mixed from the first's."""
     ones = np.zeros((WIDE, 64), np.int64)
-    for begin in range(0, last, BLOCK):
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(begin, min(last, begin + BLOCK))], np.uint64)
+    for begin in range(0, len(hashes), BLOCK):
+        h = hashes[begin : begin + BLOCK]
         for k in range(WIDE):
             x = h
             if k:
                 x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
                 x ^= x >> np.uint64(29)
             ones[k] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return tuple(np.packbits(ones * 2 > last, axis=1).view(">i8").ravel().tolist())
+    return tuple(np.packbits(ones * 2 > len(hashes), axis=1).view(">i8").ravel().tolist())
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The places where a set of shingle hashes meets others; none for an empty one."""
+    if not len(hashes):
+        return []
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND, 0xFFFFFFFF, np.uint32)
+    for begin in range(0, len(high), 2048):
+        np.minimum(least, (_FACTORS * high[begin : begin + 2048] + _SHIFTS).min(1), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, BAND))]
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0, f1, f2, f3) for every row."""
-    names = ["id", *(f"f{k}" for k in range(WIDE))]
+    """(id, f0, f1, f2, f3, cells) for every row."""
+    names = ["id", *(f"f{k}" for k in range(WIDE)), "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(x, shingle) for x in utf8(batch.column(1))], np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE))], names=names)
+            hashes = [shingle_hashes(x, shingle) for x in utf8(batch.column(1))]
+            fps = np.array([wide_fingerprint(h) for h in hashes], np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE)), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))], names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"f{k} bigint" for k in range(WIDE)))
-
-
-def _apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}f{k}").bitwiseXOR(F.col(f"{b}f{k}"))) for k in range(WIDE)), F.lit(0))
-
-
-def _segment(s: int, bits: int) -> Column:
-    """Bits s * bits and on of the fingerprint."""
-    word, off = divmod(s * bits, 64)
-    out = F.shiftrightunsigned(f"f{word}", off)
-    if off + bits > 64:
-        out = out.bitwiseOR(F.shiftleft(f"f{word + 1}", 64 - off))
-    return out.bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(s << bits)
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", cells array<bigint>")
 
 
 def _limited(df: DataFrame, rows: int) -> DataFrame:
@@ -172,47 +181,42 @@ def _limited(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def similar_groups(fps: DataFrame, most: int, segments: int = 10, leaders: int = 1, broadcast_rows: int = 500_000) -> DataFrame:
-    """(id, component) of the rows of ``fps`` (id, f0 to f3; all different) that link at ``most`` differing bits or fewer.
-
-    Multi-index hashing: every row looks up the Hamming ball of one bit around each of its segments, of which each is
-    two bits longer than the logarithm of the number of rows, so that a place rarely holds two unlike rows. Pairs are
-    verified by one fingerprint word where they meet, and those that are left by the complete distance. First a row
-    meets at most ``leaders`` rows in each place (the smallest ids, by a hash's remainder), which joins large groups
-    without their pairs. Of two leaders whose places differ by a bit, only the one without that bit looks up the other.
-    Then rows that don't lead their place meet each other there, but only if their components aren't joined yet, and
-    each two components once; they carry the complete fingerprint, so that unlike rows end where they meet.
+def similar_groups(fps: DataFrame, most: int, rounds: int = 2, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, component) of the rows of ``fps`` (id, f0 to f3, cells; ids all different) that link.
 
-    Tables of places grow with the rows at any size, so their joins are merges, never broadcasts, on small inputs too.
+    Rows are compared where they share a place (``cells``), and link at ``most`` differing bits or fewer if ``verify``
+    keeps their pair. First, in ``rounds`` rounds, the rows of a place meet one leader of it (the smallest id, then by
+    a hash), which joins large groups without their pairs. Places all of whose rows are in one component are done;
+    in those that are left, rows meet each other unless their components are joined already. They carry the complete
+    fingerprint, so that unlike rows end where they meet. No pair is verified twice.
     """
-    bits = min(25, max(8, int(np.ceil(np.log2(fps.count() + 1))) + 2))
     words = [f"f{k}" for k in range(WIDE)]
-    near = F.explode(F.array(*(F.lit(m).cast("bigint") for m in ball(bits, 1)))).alias("mask")
-    word = f"f{WIDE - 1}"
-    close = F.bit_count(F.col(word).bitwiseXOR(F.col("b_word"))) <= int(most / WIDE + 9)  # three standard deviations more
-    cell = F.explode(F.array(*(_segment(s, bits) for s in range(segments)))).alias("cell")
-    reached = F.col("cell").bitwiseXOR(F.col("mask")).alias("key")
-    table = fps.select("id", word, cell)
-    lead = stage(table.groupBy(F.col("cell").alias("key"), F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("lane")).agg(F.min(F.struct("id", word)).alias("r")))
-    leads = lead.select("key", F.col("r.id").alias("b_id"), F.col(f"r.{word}").alias("b_word"))
-    led = lead.select(F.col("key").alias("cell"), F.col("r.id").alias("id"), F.lit(True).alias("led"))
-    table = stage(table.join(led.hint("merge"), ["cell", "id"], "left").withColumn("led", F.coalesce("led", F.lit(False))))
-    asked = table.select("*", near).where("not led or (cell & mask) = 0").select(reached, "id", word)
-    pairs = asked.join(leads.hint("merge"), "key").where((F.col("id") != F.col("b_id")) & close)
-    pairs = stage(pairs.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
-    other = fps.select(F.col("id").alias("b"), *(F.col(w).alias(f"b_{w}") for w in words))
-    edges = stage(pairs.join(fps.withColumnRenamed("id", "a"), "a").join(other, "b").where(_apart("", "b_") <= most).select("a", "b"))
-    rest = table.where("not led").select("id", "cell")
-    if rest.head(1):
-        named = stage(fps.join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", *words, F.coalesce("component", "id").alias("comp")))
-        held = stage(rest.join(named, "id"))
-        here = _limited(stage(held.select(F.col("cell").alias("key")).distinct()), broadcast_rows)
-        probes = stage(held.select("*", near).select(reached, "id", "comp", *words).join(here, "key", "left_semi"))
-        held = held.select(F.col("cell").alias("key"), F.col("id").alias("b_id"), F.col("comp").alias("b_comp"), *(F.col(w).alias(f"b_{w}") for w in words))
-        # which components meet in a place, without the pairs of one component
-        meets = probes.select("key", "comp").distinct().join(held.select("key", "b_comp").distinct(), "key").where("comp < b_comp")
-        met = meets.join(held, ["key", "b_comp"]).join(probes, ["key", "comp"]).where(_apart("", "b_") <= most)
-        edges = edges.unionAll(met.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
+    far = [F.col(w).alias(f"b_{w}") for w in words]
+    near = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0)) <= most
+    table = fps.select("id", *words, F.explode("cells").alias("key"))
+    shared = stage(table.groupBy("key").count().where("count > 1").select("key"))
+    live = stage(table.join(shared.hint("merge"), "key").withColumn("comp", F.col("id")))
+    edges = tried = groups = None
+    for turn in range(rounds + 1):
+        leads = live
+        if turn < rounds:
+            order = F.xxhash64("id", "key", F.lit(turn)) if turn else F.col("id")
+            leads = live.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "comp", *words)).alias("r")).select("key", "r.*")
+        leads = leads.select("key", F.col("id").alias("b_id"), F.col("comp").alias("b_comp"), *far)
+        met = live.join(leads.hint("merge"), "key").where((F.col("comp") != F.col("b_comp")) & near)
+        pairs = met.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        new = stage(verify(pairs)) if verify else pairs
+        edges = new if edges is None else edges.unionAll(new)
+        if turn == rounds or not new.head(1):
+            continue
+        groups = stage(connected_components(edges))
+        named = stage(live.drop("comp").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
+        several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+        live = stage(named.join(several.hint("merge"), "key", "left_semi"))
+        if not live.head(1):
+            return groups.select(F.col("node").alias("id"), "component")
     return connected_components(edges).select(F.col("node").alias("id"), "component")
 
 
@@ -227,7 +231,8 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, broad
     most = int(np.floor(np.arccos(cosine) / np.pi * 64 * WIDE)) + 3  # and half a standard deviation
     words = [f"f{k}" for k in range(WIDE)]
     rows = stage(wide_fingerprints(docs, shingle, id_col, text_col))
-    distinct = stage(rows.where("id is not null").groupBy(*words).agg(F.min("id").alias("id")).groupBy("id").agg(*(F.min(F.struct(*words))[w].alias(w) for w in words)))
+    held = rows.where("id is not null").select("id", F.struct(*words, "cells").alias("r"))
+    distinct = stage(held.groupBy(*(F.col(f"r.{w}").alias(w) for w in words)).agg(F.min(F.struct("id", "r")).alias("m")).groupBy("m.id").agg(F.min("m.r").alias("r")).select("id", "r.*"))
     groups = similar_groups(distinct, most)
     firsts = stage(rows.where("id is not null").groupBy(*words).agg(F.min("id").alias("first")))
     # a fingerprint keeps its smallest id only if that is also the smallest of its group

@@ -200,6 +200,24 @@ def test_large_group_of_near_copies(spark):
     assert [r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
 
 
+@pytest.mark.parametrize("more", [0, 30_000])
+def test_the_number_of_rows_hides_no_copies(spark, more):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(150):  # 12 changed words of 480, far enough apart, leave 416 of 536 shingles: fewer bits than the limit differ for some
+        words = [f"{i}x{k}" for k in range(480)]
+        copy = [f"c{k}" if k % 45 == 20 else w for k, w in enumerate(words)]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    rows += [(5000 + i, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(6))) for i in range(more)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.keep_first(table).select("doc_id").collect()}
+    assert set(range(150)) <= kept and kept >= {5000 + i for i in range(more)}
+    hashes = [simhash.shingle_hashes(t.encode(), 5) for _, t in rows[:300]]
+    bits = [np.array(simhash.wide_fingerprint(h), np.int64).view(np.uint8) for h in hashes]
+    apart = {1000 + i: int(np.unpackbits(bits[2 * i] ^ bits[2 * i + 1]).sum()) for i in range(150)}
+    assert kept & set(apart) == {i for i, n in apart.items() if n > 41}
+
+
 def expected_repeats(texts, window):
     words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for i, t in texts.items()}
     first = {}
