@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage, utf8
+from .common import slices, stage, unstage, utf8
 from .graph import connected_components
 
 BLOCK = 1 << 16
@@ -131,10 +131,10 @@ _FACTORS |= np.uint32(1)
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
-    """XXH64 of each shingle of one text, in its order."""
+    """XXH64 of the different shingles of one text, ascending."""
     words = (text or b"").lower().split()
     last = max(1, len(words) - shingle + 1) if words else 0
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(last)), np.uint64, last)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(last)), np.uint64, last))
 
 
 def wide_fingerprint(hashes: np.ndarray) -> tuple[int, ...]:
@@ -162,18 +162,23 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, BAND))]
 
 
+def _whole(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0, f1, f2, f3, cells) for every row."""
-    names = ["id", *(f"f{k}" for k in range(WIDE)), "cells"]
+    """(id, f0, f1, f2, f3, cells, whole) for every row; equal sets have equal ``whole``."""
+    names = ["id", *(f"f{k}" for k in range(WIDE)), "cells", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(x, shingle) for x in utf8(batch.column(1))]
             fps = np.array([wide_fingerprint(h) for h in hashes], np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE)), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))], names=names)
+            more = [pa.array([bands(h) for h in hashes], pa.list_(pa.int64())), pa.array([_whole(h) for h in hashes], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE)), *more], names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", cells array<bigint>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", cells array<bigint>, whole binary")
 
 
 def _limited(df: DataFrame, rows: int) -> DataFrame:
@@ -181,6 +186,29 @@ def _limited(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, whole, shingles) for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            for a, b in slices([len(x or b"") for x in texts]):
+                hashes = [shingle_hashes(x, shingle) for x in texts[a:b]]
+                ends = pa.array(np.cumsum([0, *map(len, hashes)]).astype(np.int32))
+                sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([_whole(h) for h in hashes], pa.binary()), sets], names=["id", "whole", "shingles"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, whole binary, shingles array<bigint>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) whose sets (id, shingles) have at least that Jaccard similarity."""
+    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("a", "b"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(a, "a").join(b, "b").where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b")
+
+
 def similar_groups(fps: DataFrame, most: int, rounds: int = 2, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of the rows of ``fps`` (id, f0 to f3, cells; ids all different) that link.
 
@@ -193,9 +221,9 @@ def similar_groups(fps: DataFrame, most: int, rounds: int = 2, verify: Callable[
     words = [f"f{k}" for k in range(WIDE)]
     far = [F.col(w).alias(f"b_{w}") for w in words]
     near = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0)) <= most
-    table = fps.select("id", *words, F.explode("cells").alias("key"))
+    table = fps.select("id", F.explode("cells").alias("key"))
     shared = stage(table.groupBy("key").count().where("count > 1").select("key"))
-    live = stage(table.join(shared.hint("merge"), "key").withColumn("comp", F.col("id")))
+    live = stage(table.join(shared.hint("merge"), "key").join(fps.select("id", *words), "id").withColumn("comp", F.col("id")))
     edges = tried = groups = None
     for turn in range(rounds + 1):
         leads = live
@@ -223,19 +251,32 @@ def similar_groups(fps: DataFrame, most: int, rounds: int = 2, verify: Callable[
 def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are near copies of a row with a smaller id, directly or over others.
 
-    Rows link where their SimHash over ``shingle``-word shingles differs by at most the share of bits that shingle sets
-    of that Jaccard similarity are expected to differ by. Rows without an id are kept; of rows with one id and one
-    fingerprint all stay or go together. Texts are shuffled only if more than ``broadcast_rows`` ids go.
+    Rows link where the Jaccard similarity of their sets of ``shingle``-word shingles is at least ``similarity``, which
+    is verified for every link. Pairs are admitted to that if their SimHash over the different shingles differs by at
+    most three standard deviations more bits than sets of that similarity are expected to differ by. Rows without an id
+    are kept; of rows with one id and one set of shingles all stay or go together. Texts are shuffled only if more than
+    ``broadcast_rows`` ids go.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(np.floor(np.arccos(cosine) / np.pi * 64 * WIDE)) + 3  # and half a standard deviation
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(np.ceil(p * 64 * WIDE + 3 * np.sqrt(p * (1 - p) * 64 * WIDE)))
     words = [f"f{k}" for k in range(WIDE)]
     rows = stage(wide_fingerprints(docs, shingle, id_col, text_col))
-    held = rows.where("id is not null").select("id", F.struct(*words, "cells").alias("r"))
-    distinct = stage(held.groupBy(*(F.col(f"r.{w}").alias(w) for w in words)).agg(F.min(F.struct("id", "r")).alias("m")).groupBy("m.id").agg(F.min("m.r").alias("r")).select("id", "r.*"))
-    groups = similar_groups(distinct, most)
-    firsts = stage(rows.where("id is not null").groupBy(*words).agg(F.min("id").alias("first")))
-    # a fingerprint keeps its smallest id only if that is also the smallest of its group
+    named = rows.where("id is not null").select("id", "whole")
+    firsts = stage(named.groupBy("whole").agg(F.min("id").alias("first")))
+    # of an id's different sets, the one that compares least stands for it
+    nodes = firsts.groupBy(F.col("first").alias("id")).agg(F.min("whole").alias("whole"))
+    nodes = stage(nodes)
+    distinct = stage(rows.join(nodes, ["id", "whole"]).dropDuplicates(["id"]).select("id", *words, "cells"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        # sets are made anew for the ids of pairs, as those of all rows are larger than the texts
+        asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id"))
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_limited(asked.select("id"), broadcast_rows), "id", "left_semi")
+        sets = shingle_sets(texts, shingle, "id", "text").join(asked, ["id", "whole"]).dropDuplicates(["id"])
+        return alike(pairs, stage(sets.select("id", "shingles")), similarity)
+
+    groups = similar_groups(distinct, most, verify=verify)
+    # a set keeps its smallest id only if that is also the smallest of its group
     kept = stage(firsts.join(groups.withColumnRenamed("id", "first"), "first", "left").where("component is null or component = first").select("first").distinct())
-    gone = stage(rows.where("id is not null").select("id").distinct().join(kept, F.col("id") == F.col("first"), "left_anti"))
+    gone = stage(named.select("id").distinct().join(kept, F.col("id") == F.col("first"), "left_anti"))
     return docs.join(_limited(gone.select(F.col("id").alias(id_col)), broadcast_rows), id_col, "left_anti")
