@@ -109,8 +109,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 2e-4, steps: int
     return weights, base[0] + np.r_[0, np.cumsum(np.exp(gaps))]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
-    """The fitted model, or None where there is nothing to tell apart."""
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(weights, thresholds) as bytes, no row where there is nothing to tell apart; only the sample's features reach the one task."""
     rated = labels.select(F.col("doc_id").alias("id"), (F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")).alias("grade"))
     rated = rated.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     # at most `sample` ids, so they can be broadcast
@@ -129,7 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str =
             weights, thresholds = fit([np.frombuffer(x, np.int32) for *_, x in held], grades)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([thresholds.tobytes()], pa.binary())], names=["weights", "thresholds"])
 
-    found = rows.mapInArrow(shrink, "grade int, h bigint, found binary").coalesce(1).mapInArrow(learn, "weights binary, thresholds binary").first()
+    return rows.mapInArrow(shrink, "grade int, h bigint, found binary").repartition(1).mapInArrow(learn, "weights binary, thresholds binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
+    """The fitted model, or None where there is nothing to tell apart."""
+    found = fitted(docs, labels, sample, id_col, text_col).first()
     return (np.frombuffer(found[0]).astype(np.float32), np.frombuffer(found[1])) if found else None
 
 
