@@ -91,14 +91,28 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", links.is_url("url").alias("is_url"), links.url_to_filename("url").alias("filename"), links.cache_key("url").alias("cache_key"))
 
 
-def title_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of titles and first headings that are plain ASCII."""
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, title, heading) of pages with either."""
     nodes = stage(extract.page_nodes(table(spark, sf_dir, "pages")))
     of = nodes.where("tag in ('title', 'h1')").groupBy("page_id", "root", "tag").agg(F.min(F.struct("id", "last")).alias("e")).select("page_id", "root", "tag", F.col("e.id").alias("of"), F.col("e.last").alias("to"))
-    text = markdown._texts(nodes, of).join(of, ["page_id", "root", "of"]).groupBy("page_id").agg(F.max(F.when(F.col("tag") == "title", F.col("text"))).alias("title"), F.max(F.when(F.col("tag") == "h1", F.col("text"))).alias("heading"))
+    return markdown._texts(nodes, of).join(of, ["page_id", "root", "of"]).groupBy("page_id").agg(F.max(F.when(F.col("tag") == "title", F.col("text"))).alias("title"), F.max(F.when(F.col("tag") == "h1", F.col("text"))).alias("heading"))
+
+
+def title_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance of titles and first headings that are plain ASCII, as its SQL has them."""
+    text = _titles(spark, sf_dir)
     return text.where(r"title rlike '^[\\x20-\\x7E]*$' and heading rlike '^[\\x20-\\x7E]*$'").select("page_id", F.levenshtein("title", "heading").alias("distance"))
 
 
+def title_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance in characters of title and first heading of every page, null where either is missing.
+
+    Without SQL: DuckDB's levenshtein is only known to agree on ASCII.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    return pages.join(_titles(spark, sf_dir), "page_id", "left").select("page_id", F.levenshtein("title", "heading").alias("distance"))
+
+
 def code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", codelang.code_language("text").alias("code_lang"))
 
@@ -125,7 +139,7 @@ def word_slices(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (page_lang, page_nodes, page_elements, page_decisions, page_markdown, page_markdown_ai, page_pairs, page_minimal, page_chunks, page_links, page_files, title_distance, code_language, code_language_pages, mean_scores, word_slices)
+    for f in (page_lang, page_nodes, page_elements, page_decisions, page_markdown, page_markdown_ai, page_pairs, page_minimal, page_chunks, page_links, page_files, title_distance, title_distances, code_language, code_language_pages, mean_scores, word_slices)
 }
 
 # Text of the markup: metadata elements, comments and tags removed, the four references of the tables decoded.
