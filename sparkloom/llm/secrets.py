@@ -35,7 +35,7 @@ from .common import stage
 
 # The scanner's rules, each with what it is called.
 FORMATS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
-ASSIGNED = re.compile(r"(?i)\b([a-z_-]{2,40})[ \t]{0,3}[=:][ \t]{0,3}[\"']([^\"'\s]{8,200})[\"']")
+ASSIGNED = re.compile(r"(?i)\b([a-z_-]{2,40})[ \t]{0,3}[=:][ \t]{0,3}[\"']([^\"'\s]{8,})[\"']")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
 NAMES = re.compile(r"(?i)(token|secret|passw|pwd|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)")
 PLACEHOLDER = re.compile(r"(?i)example|change_?me|your|placeholder|dummy|xxxx|\*\*\*|<|\$\{")
@@ -98,7 +98,7 @@ def describe(text: str, begin: int, end: int, path: str, moves: dict[str, float]
     low = [_class(c) for c in value]
     steps = [moves[a + b] for a, b in zip(low, low[1:], strict=False)]
     lower, covered, i = value.lower(), 0, 0
-    while i < len(lower) and i < 4096:
+    while i < len(lower):
         n = next((n for n in range(min(12, len(lower) - i), 3, -1) if lower[i : i + n] in known), 0)
         covered += n
         i += n or 1
