@@ -118,16 +118,18 @@ def hex64(fp: str) -> Column:
 
 
 # Groups by similarity: copies whose shingles overlap by four fifths differ in far more than three of 64 bits, so the
-# deduplicating stage takes 256 bits and a share of differing bits instead. Segments of those bits would have to be
+# deduplicating stage takes 1,024 bits and a share of differing bits instead. Segments of those bits would have to be
 # longer, and so weaker, the more rows there are; rows meet in bands of smallest shingle hashes, whose recall is the
 # same at every size.
 
-WIDE = 4
+WIDE = 16
 #: Bands of so many smallest hashes: sets of Jaccard similarity s share a band with 1 - (1 - s ** BAND) ** BANDS, which is
 #: 0.999 at 0.8 and 0.14 at 0.5, however many rows there are.
 BANDS, BAND = 40, 8
 _FACTORS, _SHIFTS = np.random.RandomState(42).randint(0, 1 << 32, (2, BANDS * BAND, 1), np.uint64).astype(np.uint32)
 _FACTORS |= np.uint32(1)
+_MIXERS = np.array([0x9E3779B97F4A7C15 + 2 * k for k in range(1, WIDE)], np.uint64)
+WORDS = [f"f{k}" for k in range(WIDE)]
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -138,17 +140,14 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def wide_fingerprint(hashes: np.ndarray) -> tuple[int, ...]:
-    """Four signed 64-bit SimHash words of shingle hashes; the further words' hashes are mixed from the first's."""
-    ones = np.zeros((WIDE, 64), np.int64)
-    for begin in range(0, len(hashes), BLOCK):
-        h = hashes[begin : begin + BLOCK]
-        for k in range(WIDE):
-            x = h
-            if k:
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-                x ^= x >> np.uint64(29)
-            ones[k] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return tuple(np.packbits(ones * 2 > len(hashes), axis=1).view(">i8").ravel().tolist())
+    """Sixteen signed 64-bit SimHash words of shingle hashes; the further words' hashes are mixed from the first's."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for begin in range(0, len(hashes), 255):  # so few rows that their ones can be added up in a byte
+        h = hashes[begin : begin + 255, None]
+        more = (h ^ (h >> np.uint64(31))) * _MIXERS
+        wide = np.hstack((h, more ^ (more >> np.uint64(29)))).astype(">u8")
+        ones += np.add.reduce(np.unpackbits(wide.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return tuple(np.packbits(ones * 2 > len(hashes)).view(">i8").tolist())
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -167,18 +166,23 @@ def _whole(hashes: np.ndarray) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0, f1, f2, f3, cells, whole) for every row; equal sets have equal ``whole``."""
-    names = ["id", *(f"f{k}" for k in range(WIDE)), "cells", "whole"]
+    """(id, copy, whole, cells, f0 to f15) for every row; equal texts have equal ``copy``, equal sets equal ``whole``."""
+    names = ["id", "copy", "whole", "cells", *WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(x, shingle) for x in utf8(batch.column(1))]
+            hashes = [shingle_hashes(x, shingle) for x in utf8(batch.column(2))]
             fps = np.array([wide_fingerprint(h) for h in hashes], np.int64).reshape(-1, WIDE)
-            more = [pa.array([bands(h) for h in hashes], pa.list_(pa.int64())), pa.array([_whole(h) for h in hashes], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE)), *more], names=names)
+            more = [pa.array([_whole(h) for h in hashes], pa.binary()), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more, *(pa.array(fps[:, k]) for k in range(WIDE))], names=names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"f{k} bigint" for k in range(WIDE)) + ", cells array<bigint>, whole binary")
+    rows = docs.select(F.col(id_col).alias("id"), _copy(text_col), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, copy bigint, whole binary, cells array<bigint>, " + ", ".join(f"{w} bigint" for w in WORDS))
+
+
+def _copy(text_col: str) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string")).alias("copy")
 
 
 def _limited(df: DataFrame, rows: int) -> DataFrame:
@@ -186,66 +190,77 @@ def _limited(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, whole, shingles) for every row."""
+def shingle_sets(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> DataFrame:
+    """(whole, shingles) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
+            texts = utf8(batch.column(0))
             for a, b in slices([len(x or b"") for x in texts]):
                 hashes = [shingle_hashes(x, shingle) for x in texts[a:b]]
                 ends = pa.array(np.cumsum([0, *map(len, hashes)]).astype(np.int32))
                 sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([_whole(h) for h in hashes], pa.binary()), sets], names=["id", "whole", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_whole(h) for h in hashes], pa.binary()), sets], names=["whole", "shingles"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, whole binary, shingles array<bigint>")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "whole binary, shingles array<bigint>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) whose sets (id, shingles) have at least that Jaccard similarity."""
-    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("a", "b"))
+    """``pairs`` (a, b) of nodes whose sets (node, shingles) have at least that Jaccard similarity."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("a", "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return pairs.join(a, "a").join(b, "b").where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b")
 
 
-def similar_groups(fps: DataFrame, most: int, rounds: int = 2, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component) of the rows of ``fps`` (id, f0 to f3, cells; ids all different) that link.
+def _apart(other: str) -> Column:
+    """Number of bits in which a row's fingerprint differs from the one whose columns have that prefix."""
+    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{other}{w}"))) for w in WORDS), F.lit(0))
+
 
-    Rows are compared where they share a place (``cells``), and link at ``most`` differing bits or fewer if ``verify``
-    keeps their pair. First, in ``rounds`` rounds, the rows of a place meet one leader of it (the smallest id, then by
-    a hash), which joins large groups without their pairs. Places all of whose rows are in one component are done;
-    in those that are left, rows meet each other unless their components are joined already. They carry the complete
-    fingerprint, so that unlike rows end where they meet. No pair is verified twice.
+def similar_groups(nodes: DataFrame, most: int, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame | None:
+    """(node, component) of the nodes that link; None if there are none.
+
+    ``nodes`` (node, first, cells, f0 to f15) is staged. Nodes are compared where they share a place (``cells``), and link
+    if they differ in ``most`` bits or fewer and ``verify`` keeps their pair. First, in ``rounds`` rounds, the nodes of a
+    place meet one leader of it (the smallest ``first``, then by a hash), which joins large groups without their pairs.
+    Places all of whose nodes are in one component are done; in those that are left, nodes meet each other unless their
+    components are joined already. A pair is compared in the first place that it shares only, and unlike nodes end where
+    they meet, as each carries its complete fingerprint.
     """
-    words = [f"f{k}" for k in range(WIDE)]
-    far = [F.col(w).alias(f"b_{w}") for w in words]
-    near = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0)) <= most
-    table = fps.select("id", F.explode("cells").alias("key"))
-    shared = stage(table.groupBy("key").count().where("count > 1").select("key"))
-    live = stage(table.join(shared.hint("merge"), "key").join(fps.select("id", *words), "id").withColumn("comp", F.col("id")))
+    table = nodes.select("node", "first", F.explode("cells").alias("key"))
+    prints = nodes.select("node", *WORDS)
+    ends = prints.select(F.col("node").alias("other"), *(F.col(w).alias(f"b_{w}") for w in WORDS))
+
+    def led(rows: DataFrame, order: Column) -> DataFrame:
+        """Places with several components, and the node ``other`` and component ``b_comp`` that lead each."""
+        by = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("node", order).alias("other"), F.min_by("comp", order).alias("b_comp"))
+        return by.where("x != y").select("key", "other", "b_comp").hint("merge")
+
+    found = table.withColumn("comp", F.col("node"))
+    live = stage(found.drop("first").join(led(found, F.col("first")), "key"))
     edges = tried = groups = None
     for turn in range(rounds + 1):
-        leads = live
         if turn < rounds:
-            order = F.xxhash64("id", "key", F.lit(turn)) if turn else F.col("id")
-            leads = live.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "comp", *words)).alias("r")).select("key", "r.*")
-        leads = leads.select("key", F.col("id").alias("b_id"), F.col("comp").alias("b_comp"), *far)
-        met = live.join(leads.hint("merge"), "key").where((F.col("comp") != F.col("b_comp")) & near)
-        pairs = met.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct()
+            met = live.where("comp != b_comp").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
+            near = met.join(prints, "node").join(ends, "other").where(_apart("b_") <= most)
+        else:
+            rows = stage(live.select("key", "node", "comp").join(nodes.select("node", "cells", *WORDS).hint("merge"), "node"))
+            others = rows.select("key", F.col("node").alias("other"), F.col("comp").alias("b_comp"), F.col("cells").alias("b_cells"), *(F.col(w).alias(f"b_{w}") for w in WORDS))
+            here = F.array_min(F.array_intersect("cells", "b_cells")) == F.col("key")
+            near = rows.join(others.hint("merge"), "key").where((F.col("node") < F.col("other")) & (F.col("comp") != F.col("b_comp")) & (_apart("b_") <= most) & here)
+        pairs = near.select(F.col("node").alias("a"), F.col("other").alias("b"))
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionAll(pairs)
-        new = stage(verify(pairs)) if verify else pairs
+        new = stage(verify(pairs)) if pairs.head(1) else pairs
         edges = new if edges is None else edges.unionAll(new)
         if turn == rounds or not new.head(1):
             continue
         groups = stage(connected_components(edges))
-        named = stage(live.drop("comp").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
-        several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        live = stage(named.join(several.hint("merge"), "key", "left_semi"))
+        named = stage(live.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")))
+        live = stage(named.join(led(named, F.xxhash64("node", "key", F.lit(turn))), "key"))
         if not live.head(1):
-            return groups.select(F.col("node").alias("id"), "component")
-    return connected_components(edges).select(F.col("node").alias("id"), "component")
+            return groups
+    return connected_components(edges) if edges.head(1) else None
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,29 +269,32 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, broad
     Rows link where the Jaccard similarity of their sets of ``shingle``-word shingles is at least ``similarity``, which
     is verified for every link. Pairs are admitted to that if their SimHash over the different shingles differs by at
     most three standard deviations more bits than sets of that similarity are expected to differ by. Rows without an id
-    are kept; of rows with one id and one set of shingles all stay or go together. Texts are shuffled only if more than
-    ``broadcast_rows`` ids go.
+    are kept; rows of one id with different texts are judged each by its own text, and those of one id and one text stay
+    or go together. Blank and null texts are copies of one another. Texts are shuffled only if more than
+    ``broadcast_rows`` rows go.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(np.ceil(p * 64 * WIDE + 3 * np.sqrt(p * (1 - p) * 64 * WIDE)))
-    words = [f"f{k}" for k in range(WIDE)]
     rows = stage(wide_fingerprints(docs, shingle, id_col, text_col))
-    named = rows.where("id is not null").select("id", "whole")
-    firsts = stage(named.groupBy("whole").agg(F.min("id").alias("first")))
-    # of an id's different sets, the one that compares least stands for it
-    nodes = firsts.groupBy(F.col("first").alias("id")).agg(F.min("whole").alias("whole"))
-    nodes = stage(nodes)
-    distinct = stage(rows.join(nodes, ["id", "whole"]).dropDuplicates(["id"]).select("id", *words, "cells"))
+    sets = rows.where("id is not null").groupBy("whole").agg(F.min("id").alias("first"), F.first("cells").alias("cells"), *(F.first(w).alias(w) for w in WORDS))
+    nodes = stage(sets.withColumn("node", F.monotonically_increasing_id()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # sets are made anew for the ids of pairs, as those of all rows are larger than the texts
-        asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id"))
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_limited(asked.select("id"), broadcast_rows), "id", "left_semi")
-        sets = shingle_sets(texts, shingle, "id", "text").join(asked, ["id", "whole"]).dropDuplicates(["id"])
-        return alike(pairs, stage(sets.select("id", "shingles")), similarity)
-
-    groups = similar_groups(distinct, most, verify=verify)
+        # sets are made anew for the nodes of pairs, as those of all rows are larger than the texts
+        asked = stage(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "first", "whole"), "node"))
+        ids = _limited(stage(asked.select(F.col("first").alias("_first")).distinct()), broadcast_rows)
+        texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id") == F.col("_first"), "left_semi")
+        found = shingle_sets(texts, shingle, "_text").join(asked.select("whole", "node"), "whole").dropDuplicates(["node"])
+        return alike(pairs, stage(found.select("node", "shingles")), similarity)
+
+    groups = similar_groups(nodes, most, verify)
+    firsts = nodes.select("whole", "first", "node")
+    if groups is None:
+        kept = firsts.select("whole", "first", F.col("first").alias("least"))
+    else:
+        named = stage(firsts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        kept = named.join(named.groupBy("component").agg(F.min("first").alias("least")), "component").select("whole", "first", "least")
     # a set keeps its smallest id only if that is also the smallest of its group
-    kept = stage(firsts.join(groups.withColumnRenamed("id", "first"), "first", "left").where("component is null or component = first").select("first").distinct())
-    gone = stage(named.select("id").distinct().join(kept, F.col("id") == F.col("first"), "left_anti"))
-    return docs.join(_limited(gone.select(F.col("id").alias(id_col)), broadcast_rows), id_col, "left_anti")
+    gone = rows.where("id is not null").select("id", "copy", "whole").join(kept, "whole").where("id != least").select(F.col("id").alias("_id"), F.col("copy").alias("_copy")).distinct()
+    gone = _limited(stage(gone), broadcast_rows)
+    return docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_copy"]), "left_anti")
