@@ -1,20 +1,23 @@
 """Secret scanning with a random forest that removes false positives.
 
-The scanner's rules report findings generously: known key formats, long random-looking runs, long numbers, and quoted
-values assigned to a name. Each finding is described by its length, its character transitions (mean log probability
-under transitions of the corpus' words), its dictionary coverage (share of its letters in corpus words of four letters
-or more), its path (the document's source) and its neighbouring words. A random forest is trained on labelled findings,
-and a finding counts as a secret if the forest gives it half the votes.
+The scanner's rules report findings generously: known key formats, quoted values assigned to a name, long runs with
+digits, and very long words. Each finding is described by its length, its character transitions (mean log probability
+under the transitions within all words of the corpus), its dictionary coverage (share of it in words of four to twelve
+letters that make up at least ``rate`` of the corpus' words), its path (the document's source) and its neighbouring
+words. A random forest is trained on labelled findings, and a finding counts as a secret if the forest gives it half
+the votes.
 
 Labels come from ``labelled`` (doc_id, start, secret), or where none are given from rules that are sure of themselves:
-known formats and mixed values under a secret's name are secrets; pure numbers, repeated characters, placeholders and
-values made up of dictionary words aren't; all else is unlabelled. Training takes at most ``sample`` labelled findings
-(those with the smallest hash). Dictionary and transitions come from the ``dictionary`` most frequent words of the
-whole corpus; they and the forest are of bounded size.
-
-Defined cases: null text has no findings; a null source is an empty path; where the labels don't hold both classes
-every finding keeps probability 1 if it isn't labelled false; repeated rows each have their findings; an empty table
-gives an empty result; other columns are ignored.
+known formats and mixed values under a secret's name are secrets; pure numbers, repeated characters, placeholders,
+values made up of words, and very long words that reach ``rate`` themselves aren't; all else is unlabelled and left to
+the forest. Findings of held-out documents (crc32 of the id as text leaves 2 when divided by 4) are never
+trained on, so the forest can be measured against their labels. Of the rest about ``sample`` are trained on, an equal
+share for each label, chosen by a hash. Word counts are of all words of all documents; at most 1 / ``rate`` words can
+reach the dictionary's rate, and transitions are between 29 classes of characters, so both are of bounded size.
+
+Defined cases: null text has no findings; a null source is an empty path; where the labels to train on don't hold both
+classes every finding keeps probability 1 if it isn't labelled false; repeated rows each have their findings; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -36,6 +39,7 @@ from .common import stage
 # The scanner's rules, each with what it is called.
 FORMATS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
 ASSIGNED = re.compile(r"(?i)\b([a-z_-]{2,40})[ \t]{0,3}[=:][ \t]{0,3}[\"']([^\"'\s]{8,})[\"']")
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{16,}(?![A-Za-z0-9+/_=-])")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
 NAMES = re.compile(r"(?i)(token|secret|passw|pwd|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)")
 PLACEHOLDER = re.compile(r"(?i)example|change_?me|your|placeholder|dummy|xxxx|\*\*\*|<|\$\{")
@@ -51,9 +55,7 @@ def _class(c: str) -> str:
 def findings(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, rule, name that the value is assigned to); findings don't overlap, the first rule that reports wins."""
     out: list[tuple[int, int, str, str]] = []
-    if not re.search("[0-9\"']", text):
-        return out
-    for rule, pattern, group in (("format", FORMATS, 0), ("assigned", ASSIGNED, 2), ("run", RUN, 0)):
+    for rule, pattern, group in (("format", FORMATS, 0), ("assigned", ASSIGNED, 2), ("run", RUN, 0), ("word", WORD, 0)):
         if rule == "assigned" and not ("=" in text or ":" in text):
             continue
         taken = sorted(out)
@@ -73,24 +75,44 @@ def rule_label(value: str, rule: str, name: str) -> float | None:
         return 0.0
     if rule == "format":
         return 1.0
+    if rule == "word":
+        return None
     if re.fullmatch("[A-Za-z]+(?:[-_][A-Za-z]+)*[0-9]?", value):
         return 0.0
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     return 1.0 if mixed and NAMES.search(name) and len(value) >= 16 else None
 
 
-def statistics(docs: DataFrame, dictionary: int, text_col: str) -> tuple[dict[str, float], frozenset[str]]:
-    """Log probabilities of character transitions, and the dictionary."""
+KINDS = [*"abcdefghijklmnopqrstuvwxyz", "0", "A", "*"]
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all words of two letters or more in all texts, in lower case."""
     word = F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+")).alias("word")
-    top = docs.select(word).where("length(word) between 2 and 20").groupBy("word").count().orderBy(F.desc("count"), "word").limit(dictionary).collect()
-    seen: dict[tuple[str, str], float] = defaultdict(float)
-    total: dict[str, float] = defaultdict(float)
-    for r in top:
-        for a, b in zip(r["word"], r["word"][1:], strict=False):
-            seen[_class(a), _class(b)] += math.log1p(r["count"])
-            total[_class(a)] += math.log1p(r["count"])
-    kinds = [*"abcdefghijklmnopqrstuvwxyz", "0", "A", "*"]
-    return {a + b: math.log((seen[a, b] + 1) / (total[a] + len(kinds))) for a in kinds for b in kinds}, frozenset(r["word"] for r in top if len(r["word"]) >= 4)
+    return docs.select(word).where("length(word) >= 2").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def transitions(counts: DataFrame) -> dict[str, float]:
+    """Log probability of each class of characters after each other, over all words as often as they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low = "".join(map(_class, word))
+                for a, b in pairwise(low):
+                    seen[a + b] = seen.get(a + b, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pair", "n"])
+
+    summed = {r["pair"]: r["n"] for r in counts.select("word", "n").mapInArrow(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    total = {a: sum(summed.get(a + b, 0) for b in KINDS) for a in KINDS}
+    return {a + b: math.log((summed.get(a + b, 0) + 1) / (total[a] + len(KINDS))) for a in KINDS for b in KINDS}
+
+
+def dictionary(counts: DataFrame, rate: float) -> frozenset[str]:
+    """Words of four to twelve letters that are at least ``rate`` of all words; there can't be more than 1 / rate."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r["word"] for r in counts.where((F.col("n") >= rate * total) & F.length("word").between(4, 12)).select("word").collect())
 
 
 def describe(text: str, begin: int, end: int, path: str, moves: dict[str, float], known: frozenset[str]) -> list[float]:
@@ -116,10 +138,15 @@ def describe(text: str, begin: int, end: int, path: str, moves: dict[str, float]
     return out + words
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 20_000, dictionary: int = 5_000, trees: int = 30, depth: int = 6, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(doc_id, start, end, rule, name, p_secret, secret): one row for each finding."""
-    moves, known = statistics(docs, dictionary, text_col)
-    schema = pa.schema([("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("name", pa.string()), ("label", pa.float64()), ("described", pa.list_(pa.float64()))])
+def held_out(id_col: str) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 20_000, rate: float = 1e-5, trees: int = 30, depth: int = 6, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """(doc_id, start, end, rule, name, p_secret, secret, label, held_out): one row for each finding."""
+    counts = stage(word_counts(docs, text_col))
+    moves, known = transitions(counts), dictionary(counts, rate)
+    schema = pa.schema([("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("name", pa.string()), ("label", pa.float64()), ("word", pa.string()), ("described", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,22 +154,28 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 20_00
             for k, (text, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for a, b, rule, name in findings(text or ""):
                     at.append(k)
-                    rows.append((a, b, rule, name, rule_label(text[a:b], rule, name), describe(text, a, b, path or "", moves, known)))
+                    rows.append((a, b, rule, name, rule_label(text[a:b], rule, name), text[a:b].lower() if rule == "word" else None, describe(text, a, b, path or "", moves, known)))
             columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", *schema.names])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
-    found = stage(rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, start bigint, end bigint, rule string, name string, label double, described array<double>"))
+    found = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, start bigint, end bigint, rule string, name string, label double, word string, described array<double>")
+    found = stage(found.withColumn("held_out", held_out("doc_id")))
     if labelled is not None:
         marks = labelled.select(F.col("doc_id"), F.col("start").cast("bigint").alias("start"), F.col("secret").cast("double").alias("label")).dropDuplicates(["doc_id", "start"])
-        found = stage(found.drop("label").join(marks, ["doc_id", "start"], "left").select(*found.columns))
-    sure = found.where("label is not null")
-    classes = sure.select("label").distinct().count()
-    plain = ["doc_id", "start", "end", "rule", "name"]
-    if classes < 2:
-        return found.select(*plain, F.coalesce("label", F.lit(1.0)).alias("p_secret")).withColumn("secret", F.col("p_secret") >= 0.5)
-    chosen = sure.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(sample)
-    chosen = stage(chosen.select("label", "described")).select("label", array_to_vector("described").alias("features"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt").fit(chosen)
+        found = stage(found.drop("label").join(marks, ["doc_id", "start"], "left"))
+    else:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        often = counts.where((F.col("n") >= rate * total) & (F.length("word") >= 16)).select("word", F.lit(0.0).alias("is_common"))
+        found = stage(found.join(often, "word", "left").withColumn("label", F.coalesce("label", "is_common")))
+    sure = found.where("label is not null and not held_out")
+    size = {r["label"]: r["count"] for r in sure.groupBy("label").count().collect()}
+    shown = ["doc_id", "start", "end", "rule", "name", "p_secret", "secret", "label", "held_out"]
+    if len(size) < 2:
+        return found.withColumn("p_secret", F.coalesce("label", F.lit(1.0))).withColumn("secret", F.col("p_secret") >= 0.5).select(shown)
+    share = F.coalesce(*(F.when(F.col("label") == k, F.lit(min(1.0, sample / len(size) / n))) for k, n in size.items()))
+    taken = sure.where(F.xxhash64("doc_id", "start").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53) < share)
+    taken = stage(taken.select("label", "described")).select("label", array_to_vector("described").alias("features"))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt").fit(taken)
     scored = model.transform(found.withColumn("features", array_to_vector("described")))
-    return scored.select(*plain, F.round(vector_to_array("probability")[1], 9).alias("p_secret")).withColumn("secret", F.col("p_secret") >= 0.5)
+    return scored.withColumn("p_secret", F.round(vector_to_array("probability")[1], 9)).withColumn("secret", F.col("p_secret") >= 0.5).select(shown)
