@@ -6,8 +6,9 @@ postings of its rarest term, by frequency in the whole index, give the candidate
 offset-adjusted postings of the next rarest term, and what is left with those of all its terms. All of it is joins and
 aggregations on the JVM; a side is broadcast only where its counted rows are under ``broadcast_rows``, and else shuffled.
 
-Defined cases: null or wordless documents have no postings and are not hit; items without an id, or without words, are
-left out; of several items with one id each counts, and the id is listed once; rows are told apart by their id and
+Defined cases: null or wordless documents have no postings and are not hit; items without words are left out, those
+without an id hit words as others do, but there is no id to list or count; of several items with one id each counts, and
+the id is listed once; rows are told apart by their id and
 xxhash64 of their text, so repeated rows get equal results and rows that share only the id don't mix; null ids are
 compared as equal; other columns are ignored.
 """
@@ -53,7 +54,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, broadcast_rows:
 
 def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Staged tables: windows (wid, len, terms), their items (wid, item_id), terms (term, tid)."""
-    rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null")
+    rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("item_id", words("text").alias("w")).where("size(w) > 0")
     each = stage(rows.select("item_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))).alias("i"), "w").select("item_id", F.slice("w", F.col("i"), size).alias("words")).distinct())
     distinct = stage(each.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()))

@@ -495,18 +495,18 @@ def test_contamination(spark, docs, texts, broadcast_rows):
     rnd = random.Random(1)
     own = [word_list(texts[i]) for i in (3, 5, 8, 42, 75)]
     test = [(k, " ".join(w[s : s + n])) for k, (w, s, n) in enumerate([(own[0], 0, 15), (own[1], 2, 10), (own[2], 0, 4), (own[3], 1, 30), (own[4], 4000, 25)])]
-    test += [(10, "same same"), (11, None), (12, "!!"), (13, prose(rnd, 20)), (14, "ONE"), (15, "same " * 12), (15, "absent term")]
+    test += [(10, "same same"), (11, None), (12, "!!"), (13, prose(rnd, 20)), (14, "ONE"), (15, "same " * 12), (15, "absent term"), (None, " ".join(own[4][8000:8012])), (None, "")]
     windows = collections.defaultdict(set)
     for k, t in test:
         w = word_list(t)
         for s in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[s : s + 10])].add(str(k))
+            windows[tuple(w[s : s + 10])] |= {str(k)} if k is not None else set()
     expected = {}
     for i, t in texts.items():
         w, hit, ids = word_list(t), set(), set()
         for n in {len(x) for x in windows}:
             for s in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[s : s + n])):
+                if (found := windows.get(tuple(w[s : s + n]))) is not None:
                     hit.update(range(s, s + n))
                     ids |= found
         expected[i] = (len(w), len(hit), sorted(ids), bool(hit))
