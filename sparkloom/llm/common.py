@@ -5,20 +5,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import stage, unstage, workspace
 
-__all__ = ["SLICE_BYTES", "partitions", "slices", "stage", "unstage", "utf8", "workspace"]
+__all__ = ["SLICE_BYTES", "partitions", "slices", "small_batches", "stage", "unstage", "utf8", "workspace"]
 
 #: Bytes of text that one numpy step works on at a time; longer single texts are handled alone.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch; rows are counted by Spark otherwise, whatever their size.
+BATCH_BYTES = 4 << 20
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; Arrow batches of its session get at most ``BATCH_BYTES`` (or one row) unless it has a limit of its own."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, BATCH_BYTES)
+    return docs
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     if isinstance(column, pa.ChunkedArray):

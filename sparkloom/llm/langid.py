@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Texts longer than this many characters are counted in parts.
 PART = 1 << 20
@@ -113,7 +113,7 @@ def bundle(texts: list[str | None], n: int, size: int) -> np.ndarray:
 
 def train(docs: DataFrame, n: int = 3, size: int = 512, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Prototype of each language."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = small_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -136,7 +136,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, size
     """The columns of ``keep``, lang_pred and score for every row."""
     names = sorted(prototypes)
     table = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names], np.float32).reshape(-1, size)
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    rows = small_batches(docs).select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

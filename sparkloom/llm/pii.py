@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context")
@@ -288,7 +288,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 spans.append([dict(zip(FIELDS, c, strict=True)) for c in candidates(text, base_spans(text))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], names=["id", "spans"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, spans array<struct<start: bigint, end: bigint, kind: string, base: boolean, votes: array<tinyint>, features: array<smallint>>>")
 
 
@@ -378,4 +378,4 @@ def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Data
                 out.append(redact_text(text, chosen(spans, weights)) if spans else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

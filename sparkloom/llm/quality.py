@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BITS = 16
 WORD = re.compile(r"\S+")
 EDGE = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 #: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def _hash(kind: str, value: str) -> int:
@@ -115,7 +117,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str
     rated = rated.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     # at most `sample` ids, so they can be broadcast
     chosen = F.broadcast(rated.orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("grade", "text", F.xxhash64("id").alias("h"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("grade", "text", F.xxhash64("id").alias("h"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
@@ -150,7 +152,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, threshol
             p = tails[:, -1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(p), pa.array(p >= threshold)], names=["id", "expected_grade", "p_top", "keep"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, expected_grade double, p_top double, keep boolean")
 
 
@@ -164,4 +166,4 @@ def select(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, thresho
         for batch in batches:
             yield batch.filter(pa.array([bool(weights[features(t, memo)].sum(dtype=np.float64) >= bar) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, unstage, utf8
+from .common import slices, small_batches, stage, unstage, utf8
 from .graph import connected_components
 
 BLOCK = 1 << 16
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fps = [fingerprint(x, shingle) for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp bigint")
 
 
@@ -176,7 +176,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
             more = [pa.array([_whole(h) for h in hashes], pa.binary()), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more, *(pa.array(fps[:, k]) for k in range(WIDE))], names=names)
 
-    rows = docs.select(F.col(id_col).alias("id"), _copy(text_col), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), _copy(text_col), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, copy bigint, whole binary, cells array<bigint>, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
@@ -202,7 +202,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> D
                 sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([_whole(h) for h in hashes], pa.binary()), sets], names=["whole", "shingles"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "whole binary, shingles array<bigint>")
+    return small_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "whole binary, shingles array<bigint>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -23,16 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Distinct words that a task remembers between slices before it starts anew: with ids, with digests only.
-REMEMBERED = (200_000, 600_000)
+REMEMBERED = (100_000, 600_000)
 #: Longer words than this are merged one by one with a heap: their rounds would be as many as their merges.
 LONG_WORD = 2_000
 #: Bytes of text that are encoded at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -273,5 +273,5 @@ def encode(docs: DataFrame, model: Model, decode: bool = True, digest: bool = Fa
                     columns += [lists, pa.array(decoded if decode else [None] * len(each), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"))

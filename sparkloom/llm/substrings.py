@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, partitions, slices, utf8
+from .common import SLICE_BYTES, partitions, slices, small_batches, utf8
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -196,7 +196,7 @@ def repeats(docs: DataFrame, window: int = 13, seed: int = 5, bucket_bytes: int
     copy is xxhash64 of the text, which tells rows of one id apart. Runs of one text may touch and are joined by
     :func:`maximal_repeats`. A bucket holds about what ``bucket_bytes`` of text give.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // bucket_bytes))
 
@@ -227,7 +227,7 @@ def _cover(found: list, window: int) -> list[tuple[int, int]]:
 def _with_repeats(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """(id, text, found): found lists the runs of repeated windows; null if there are none."""
     found = repeats(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "count")).alias("found"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumns({"doc": F.col("id").cast("bigint"), "copy": F.xxhash64("text")})
     return rows.join(found, ["doc", "copy"], "left").select("id", "text", "found")
 
