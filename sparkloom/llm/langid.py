@@ -4,7 +4,8 @@ Every letter has a random vector of +1 and -1, drawn from its code point. A lett
 letters' vectors, each rotated by its place; a text bundles (adds) the vectors of all its n-grams, where runs of
 anything but letters count as one space, and a language's prototype bundles the training texts. The prediction is the
 language with the largest cosine, which is also the score (at least 0). A text's n-grams are counted first, so each
-distinct one of a slice of texts is bound once.
+distinct one of a slice of texts is bound once, in blocks of bounded size however many there are; letters are taken in
+parts of bounded size, so a text's length doesn't matter either.
 
 Training adds up prototypes where the texts are; only the sums, one vector for each language, reach the driver.
 
@@ -16,7 +17,7 @@ rows count as often as they occur; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches
 
 #: Texts longer than this many characters are counted in parts.
-PART = 1 << 20
+PART = 1 << 18
+#: Cells of the matrix of counts, and n-grams, that are held at a time.
+CELLS, GRAMS = 1 << 21, 1 << 13
 
 
 @cache
@@ -34,7 +37,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@cache
+@lru_cache(4096)
 def _vector(point: int, size: int) -> np.ndarray:
     return np.random.default_rng([7, point]).integers(0, 2, size, np.int8).astype(np.float32) * 2 - 1
 
@@ -73,24 +76,30 @@ def _streams(texts: list[str], n: int) -> Iterator[tuple[int, np.ndarray]]:
             tail = points[-(n - 1) :] if n > 1 else points[:0]
 
 
-def _counts(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, a row of n code points each, and a matrix of their counts in each text."""
-    streams = list(_streams(texts, n))
+def _counts(streams: list[tuple[int, np.ndarray]], texts: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of distinct n-grams, a row of n code points each, with a matrix of their counts in each text."""
     flat = np.concatenate([s for _, s in streams]) if streams else np.zeros(0, np.uint32)
     size = len(flat) - n + 1
     if size <= 0:
-        return np.zeros((0, n), np.uint32), np.zeros((len(texts), 0), np.float32)
-    owner = np.repeat(np.arange(len(streams)), [len(s) for _, s in streams])
+        return
+    owner = np.repeat(np.arange(len(streams), dtype=np.int32), [len(s) for _, s in streams])
     alphabet, code = _numbered(flat, 0x110000)
     width = len(alphabet)
     key = np.zeros(size, np.int64)
     for j in range(n):
         key = key * width + code[j : j + size]
     whole = owner[:size] == owner[n - 1 :]
-    key, text = key[whole], np.array([i for i, _ in streams])[owner[:size][whole]]
+    key, text = key[whole], np.array([i for i, _ in streams], np.int32)[owner[:size][whole]]
     distinct, gram = _numbered(key, width**n)
-    counts = np.bincount(text * len(distinct) + gram, minlength=len(texts) * len(distinct)).reshape(len(texts), -1)
-    return np.stack([alphabet[distinct // width ** (n - 1 - j) % width] for j in range(n)], 1), counts.astype(np.float32)
+    block = max(1, min(GRAMS, CELLS // max(1, texts)))
+    if len(distinct) > block:
+        order = np.argsort(gram, kind="stable")
+        gram, text = gram[order], text[order]
+    cuts = np.searchsorted(gram, np.arange(0, len(distinct) + block, block)) if len(distinct) > block else [0, len(gram)]
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        own = distinct[k * block : (k + 1) * block]
+        counts = np.bincount(text[a:b].astype(np.int64) * len(own) + (gram[a:b] - k * block), minlength=texts * len(own)).reshape(texts, -1)
+        yield np.stack([alphabet[own // width ** (n - 1 - j) % width] for j in range(n)], 1), counts.astype(np.float32)
 
 
 def bind(points: np.ndarray, size: int) -> np.ndarray:
@@ -107,8 +116,24 @@ def bind(points: np.ndarray, size: int) -> np.ndarray:
 def bundle(texts: list[str | None], n: int, size: int) -> np.ndarray:
     """One vector for each text; zeros where there is no letter."""
     some = [x if x and any(map(str.isalpha, x)) else "" for x in texts]
-    points, counts = _counts(some, n)
-    return counts @ bind(points, size) if len(points) else np.zeros((len(texts), size), np.float32)
+    out = np.zeros((len(texts), size), np.float32)
+
+    def add(held: list[tuple[int, np.ndarray]]) -> None:
+        # the texts of a part that doesn't fit the rest are few
+        at = sorted({i for i, _ in held})
+        place = {i: k for k, i in enumerate(at)}
+        for points, counts in _counts([(place[i], s) for i, s in held], len(at), n):
+            out[at] += counts @ bind(points, size)
+
+    held: list[tuple[int, np.ndarray]] = []
+    for i, stream in _streams(some, n):
+        if held and sum(len(s) for _, s in held) + len(stream) > 4 * PART:
+            add(held)
+            held = []
+        held.append((i, stream))
+    if held:
+        add(held)
+    return out
 
 
 def train(docs: DataFrame, n: int = 3, size: int = 512, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
