@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import codelang, links, pages
 from ..operators import extract, markdown, split
-from ..session import stage
+from ..session import spread, stage
 from ..sources.pages import with_output_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def page_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,40 +155,12 @@ k AS (SELECT *, CASE WHEN base_holds THEN base_length ELSE meta_length END AS t
 d AS (SELECT *, CASE WHEN t < CASE WHEN lang = 'ja' THEN 200 ELSE 500 END THEN greatest(0, t - 200) WHEN lang = 'ja' THEN 200 ELSE 500 END::BIGINT AS least_length FROM k)
 """
 
-_TS = "console|await|async|function|undefined|export|import|this|class|for|let|const|map|join|require|implements|interface"
-_SQL_FEATURES = [
-    ("bash", [(r"#!(?:/usr)?/bin/bash", 500), (r"\b(?:if|elif|then|fi|echo)\b|\$", 10)]),
-    ("html", [(r"</?[a-z-]+[^\n>]*>", 10), (r"\A\s+<!DOCTYPE\s+html", 500)]),
-    ("http", [(r"\A(?:GET|HEAD|POST|PUT|DELETE|PATCH|HTTP)\b", 500)]),
-    ("ts", [(r"import .* from|export \*|export const|const .* = await", 400), (rf"\b(?:{_TS}|namespace)\b", 10)]),
-    ("tsx", [(r"import .* from|export \*|export const", 400), (r"\b(?:react|next|FC)\b", 200), (rf"\b(?:{_TS})\b", 10)]),
-    ("py", [(r"\b(?:def|print|class|and|or|lambda)\b", 10)]),
-    ("sql", [(r"\b(?:SELECT|INSERT|FROM)\b", 50)]),
-    ("pl", [(r"#!(?:/usr)?/bin/perl", 500), (r"\b(?:use|print)\b|\$", 10)]),
-    ("lua", [(r"#!(?:/usr)?/bin/lua", 500)]),
-    ("make", [(r"\b(?:ifneq|endif|if|elif|then|fi|echo)\b|\$", 10)]),
-    ("uri", [(r"https?:|mailto:|tel:|ftp:", 30)]),
-    ("css", [(r"(?m)^(?:@import|@page|@media|[.#][a-z]+)", 20)]),
-    ("diff", [(r"(?m)^[+><-]", 10), (r"(?m)^@@ ?[-+,0-9 ]+ ?@@", 25)]),
-    ("md", [(r"(?m)^(?:>|\t\*|\t\d+.)", 10), (r"\[.*\](?:.*)", 10)]),
-    ("docker", [(r"(?m)^(?:FROM|ENTRYPOINT|RUN)", 500)]),
-    ("xml", [(r"</?[a-z-]+[^\n>]*>", 10), (r"\A<\?xml", 500)]),
-    ("c", [(r"#include\b|\bprintf\s+\(", 100)]),
-    ("rs", [(r"(?m)^\s+(?:use|fn|mut|match)\b", 100)]),
-    ("go", [(r"\b(?:func|fmt|package)\b", 100)]),
-    ("java", [(r"(?m)^import\s+java", 500)]),
-    ("asm", [(r"(?m)^(?:section|global main|extern|\t(?:call|mov|ret))", 100)]),
-    ("json", [(r"\b(?:true|false|null)\b|\"[^\"]+\":", 10)]),
-    ("yaml", [(r"(?im)^(?:\s+)?[a-z][a-z0-9]*:", 10)]),
-]
-
-
 def _score(features: list[tuple[str, int]], text: str) -> str:
-    return " + ".join("len(regexp_extract_all({}, '{}')) * {}".format(text, p.replace("'", "''"), n) for p, n in features)
+    return " + ".join("len(regexp_extract_all({}, '{}')) * {}".format(text, p.replace(r"\{}", r"\{\}").replace("'", "''"), n) for p, n in features)
 
 
 def _code_sql(name: str, key: str, text: str, more: str = "") -> str:
-    scores = ", ".join(f"{{'score': {_score(f, text)}, 'place': {-i}, 'lang': '{lang}'}}" for i, (lang, f) in enumerate(_SQL_FEATURES))
+    scores = ", ".join(f"{{'score': {_score(f, text)}, 'place': {-i}, 'lang': '{lang}'}}" for i, (lang, f) in enumerate(codelang.LANGUAGES))
     return f"SELECT {key}, list_sort([{scores}, {{'score': 20, 'place': 1, 'lang': 'plain'}}], 'DESC')[1].lang AS code_lang{more} FROM {name}"
 
 
@@ -218,7 +190,7 @@ WITH t AS (SELECT page_id, {_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?
 SELECT page_id, levenshtein(title, heading)::INTEGER AS distance FROM t WHERE regexp_full_match(title, '[ -~]*') AND regexp_full_match(heading, '[ -~]*')
 """,
     "code_language": _code_sql("documents", "doc_id", "text"),
-    "code_language_pages": _code_sql("pages", "page_id", "html", ", " + ", ".join(f"({_score(dict(_SQL_FEATURES)[k], 'html')})::BIGINT AS {k}_score" for k in ("html", "ts", "py"))),
+    "code_language_pages": _code_sql("pages", "page_id", "html", ", " + ", ".join(f"({_score(dict(codelang.LANGUAGES)[k], 'html')})::BIGINT AS {k}_score" for k in ("html", "ts", "py"))),
     "mean_scores": "SELECT source, count(*) AS items, round(avg(coalesce(quality, -1)), 6) AS mean_score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "word_slices": f"WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents), s AS (SELECT doc_id, words, unnest(range(1, len(words) + 1, 200)) AS i FROM w) SELECT doc_id, ((i - 1) // 200 + 1)::BIGINT AS slice_no, len(words[i:i + 199])::BIGINT AS words, md5(array_to_string(words[i:i + 199], ' ')) AS digest FROM s",
 }

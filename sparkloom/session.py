@@ -51,6 +51,16 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, bytes_a_core: int = 4 << 20) -> DataFrame:
+    """``df`` dealt out over all cores if it is small: a file with a single row group is read by one task.
+
+    Tables of more than ``bytes_a_core`` for each core have tasks enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * bytes_a_core else df
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     path = df._staged_at

@@ -13,7 +13,7 @@ def value(spark, column, **values):
     ("code", "lang"),
     [
         ("#!/bin/bash\nls", "bash"), ("import x from 'y'", "ts"), ("SELECT a", "sql"), ("print print", "plain"), ("print print print", "py"), ("<p>a</p><b>", "html"),
-        ("<?xml?><a></a>", "xml"), ("FROM x\nRUN y", "docker"), ("package main\nfunc", "go"), ("#include <x>", "c"), ("import java.util", "java"), ("éand éand éand", "py"), ("xand and", "plain"), ("", "plain"), (None, "plain"),
+        ("<?xml?><a></a>", "xml"), ("FROM x\nRUN y", "docker"), ("package main\nfunc", "go"), ("#include <x>", "c"), ("import java.util", "java"), ("éand éand éand", "py"), ("xand and", "plain"), (".PHONY: a b.PHONY: c d.PHONY", "plain"), ("x.PHONY: a\\nb.PHONY: c\\nd.PHONY: e", "make"), ("a{}b c{}d e{}f", "json"), ("", "plain"), (None, "plain"),
     ],
 )
 def test_code_language(spark, code, lang):
