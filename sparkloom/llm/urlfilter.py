@@ -9,8 +9,8 @@ Rules meet distinct hosts, not pages, so a host with a third of all pages costs
 back by host, broadcast only where its counted rows allow it. All of it is DataFrame work on the JVM.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path, no rule, no aliases and are allowed;
-links that are neither absolute nor begin with ``/`` are ignored; fragments don't tell urls apart as aliases; of two
-rules with the same host and path, block wins; repeated rows each get the verdict; other columns are ignored.
+links are completed from their page's url; fragments, a host's letter case, default ports and percent-encoding don't
+tell urls apart as aliases; of two rules with the same host and path, block wins; repeated rows each get the verdict; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.links import resolve_url
 from .common import stage
 from .decontaminate import LOWER, UPPER, _small
 from .graph import connected_components
@@ -65,20 +66,19 @@ def apply_rules(urls: DataFrame, rules: DataFrame, broadcast_rows: int = 100_000
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) from the canonical links and immediate or timed refreshes in pages' HTML."""
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("contains(url, '://')").where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    tags = F.flatten(F.array(*(F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"))))
+    tags = F.flatten(F.array(*(F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in (r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"))))
     rows = rows.select("url", F.explode(tags).alias("tag"))
     quoted = r"\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
     href = F.concat(*(F.regexp_extract("tag", r"(?is)\bhref\s*=" + quoted, i) for i in (1, 2, 3)))
     refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?([^\"'>]+)", 1)
-    rows = rows.select("url", F.trim(F.when(F.col("tag").rlike("(?is)^<link"), href).otherwise(refresh)).alias("to"))
-    origin = F.regexp_extract("url", "^[^/?#]*://[^/?#]*", 0)
-    scheme = F.regexp_extract("url", "^(.*?)://", 1)
-    target = F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(origin, F.col("to")))
-    return rows.select(F.col("url").alias("src"), F.regexp_replace(target, "&amp;", "&").alias("dst")).where("dst is not null")
+    rows = rows.select("url", F.regexp_replace(F.trim(F.when(F.col("tag").rlike("(?is)^<link"), href).otherwise(refresh)), "&amp;", "&").alias("to"))
+    target = F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("to")).when(F.col("to") != "", resolve_url(F.col("to"), F.col("url")))
+    return rows.select(F.col("url").alias("src"), target.alias("dst")).where("contains(dst, '://')")
 
 
-def _bare(url: str) -> Column:
-    return F.regexp_replace(F.col(url), "(?s)#.*$", "")
+def _same(url: str) -> Column:
+    """What a url goes by as an alias."""
+    return F.coalesce(resolve_url(F.lit(""), F.col(url)), F.regexp_replace(F.col(url), "(?s)#.*$", ""))
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", broadcast_rows: int = 100_000) -> DataFrame:
@@ -91,13 +91,14 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     rows = rows.withColumns({"host": host_of("url"), "path": path_of("url")})
     out = apply_rules(rows, rules, broadcast_rows)
     if edges is not None:
-        edges = stage(edges.where("src is not null and dst is not null").select(_bare("src").alias("src"), _bare("dst").alias("dst")).where("src != dst").distinct())
+        edges = stage(edges.where("src is not null and dst is not null").distinct())
         if edges.head(1):
-            groups = stage(connected_components(edges))
-            nodes = apply_rules(groups.withColumns({"host": host_of("node"), "path": path_of("node")}), rules, broadcast_rows)
-            blocked = nodes.where("explicit = 'block'").select("component").distinct()
-            tainted = stage(groups.join(blocked, "component", "left_semi").select(F.col("node").alias("bare"), F.lit(True).alias("tainted")))
-            out = out.withColumn("bare", _bare("url")).join(_small(tainted, broadcast_rows), "bare", "left")
+            groups = stage(connected_components(edges.select(_same("src").alias("src"), _same("dst").alias("dst"))))
+            nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
+            ruled = apply_rules(nodes.withColumns({"host": host_of("node"), "path": path_of("node")}), rules, broadcast_rows)
+            blocked = ruled.where("explicit = 'block'").select(_same("node").alias("node")).distinct().join(groups, "node").select("component").distinct()
+            tainted = stage(groups.join(blocked, "component", "left_semi").select(F.col("node").alias("alias"), F.lit(True).alias("tainted")))
+            out = out.withColumn("alias", _same("url")).join(_small(tainted, broadcast_rows), "alias", "left")
             return out.select("page_id", "url", "host", "path", "rule", F.coalesce("explicit", F.when(F.col("tainted"), "block").otherwise("allow")).alias("verdict"))
     return out.select("page_id", "url", "host", "path", "rule", F.coalesce("explicit", F.lit("allow")).alias("verdict"))
 
