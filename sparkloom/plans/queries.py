@@ -99,18 +99,14 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of titles and first headings that are plain ASCII, as its SQL has them."""
-    text = _titles(spark, sf_dir)
-    return text.where(r"title rlike '^[\\x20-\\x7E]*$' and heading rlike '^[\\x20-\\x7E]*$'").select("page_id", F.levenshtein("title", "heading").alias("distance"))
+    """Edit distance in characters of title and first heading of every page, null where either is missing."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    return pages.join(_titles(spark, sf_dir), "page_id", "left").select("page_id", F.levenshtein("title", "heading").alias("distance"))
 
 
 def title_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance in characters of title and first heading of every page, null where either is missing.
-
-    Without SQL: DuckDB's levenshtein is only known to agree on ASCII.
-    """
-    pages = table(spark, sf_dir, "pages").select("page_id")
-    return pages.join(_titles(spark, sf_dir), "page_id", "left").select("page_id", F.levenshtein("title", "heading").alias("distance"))
+    """The same; both names are kept."""
+    return title_distance(spark, sf_dir)
 
 
 def code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +141,9 @@ QUERIES: dict[str, Query] = {
 # Text of the markup: metadata elements, comments and tags removed, the four references of the tables decoded.
 _NO_META = r"regexp_replace(regexp_replace(html, '(?is)<(?:script|style|title)\b[^>]*>.*?(?:</(?:script|style|title)>|$)', '', 'g'), '(?s)<!--.*?(?:-->|$)', '', 'g')"
 _PLAIN = "replace(replace(replace(replace(regexp_replace({0}, '<[a-zA-Z/!][^>]*>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# DuckDB's levenshtein counts bytes, so the tables' letters beyond ASCII are put into a byte each.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü©·"
+_ONE_BYTE = f"translate({{0}}, '{_LETTERS}', {' || '.join(f'chr({i})' for i in [*range(1, 9), *range(14, 14 + len(_LETTERS) - 8)])})"
 _DECISIONS = rf"""
 WITH m AS (SELECT page_id, nullif(regexp_extract(html, 'lang=["'']([^"'']+)["'']', 1), '') AS lang, {_NO_META} AS meta FROM pages),
 b AS (SELECT *, regexp_replace(meta, '(?s)<nav\b[^>]*>.*?(?:</nav>|$)', '', 'g') AS base FROM m),
@@ -186,11 +185,12 @@ f AS (SELECT *, array_to_string(host, '-') || CASE WHEN len(path) > 0 THEN '-' |
 SELECT page_id, true AS is_url, regexp_replace(regexp_replace(lower(raw), '[\s.]+', '-', 'g'), '^-+|-+$', '', 'g') AS filename, regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g') || '.txt' AS cache_key FROM f
 """,
     "title_distance": rf"""
-WITH t AS (SELECT page_id, {_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {_PLAIN.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading FROM pages WHERE contains(html, '<title>') AND contains(html, '<h1>'))
-SELECT page_id, levenshtein(title, heading)::INTEGER AS distance FROM t WHERE regexp_full_match(title, '[ -~]*') AND regexp_full_match(heading, '[ -~]*')
+WITH t AS (SELECT page_id, {_ONE_BYTE.format(_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title, {_ONE_BYTE.format(_PLAIN.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS heading FROM pages)
+SELECT page_id, levenshtein(nullif(title, ''), nullif(heading, ''))::INTEGER AS distance FROM t
 """,
     "code_language": _code_sql("documents", "doc_id", "text"),
     "code_language_pages": _code_sql("pages", "page_id", "html", ", " + ", ".join(f"({_score(dict(codelang.LANGUAGES)[k], 'html')})::BIGINT AS {k}_score" for k in ("html", "ts", "py"))),
     "mean_scores": "SELECT source, count(*) AS items, round(avg(coalesce(quality, -1)), 6) AS mean_score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "word_slices": f"WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents), s AS (SELECT doc_id, words, unnest(range(1, len(words) + 1, 200)) AS i FROM w) SELECT doc_id, ((i - 1) // 200 + 1)::BIGINT AS slice_no, len(words[i:i + 199])::BIGINT AS words, md5(array_to_string(words[i:i + 199], ' ')) AS digest FROM s",
 }
+ORACLES["title_distances"] = ORACLES["title_distance"]
