@@ -7,11 +7,14 @@ coarser: ``level:signature:signature``. Two fingerprints are compared by edit di
 common, and are 0 alike where they have none. All of a text counts, and only its bytes do.
 
 Defined cases: null text is taken as empty; the empty text's fingerprint is ``0::``, and two empty texts are 1 alike.
+Rows without an id come before all others; rows of one id are in order of their text's hash; the only row of a table
+follows itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ from .substrings import BASE, LETTER, _mix, _power
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 SPAN = 7
 LEVELS = 40
+#: Equal rows that are made of one row at a time.
+REPEATS = 10_000
 BLOCK = 1 << 20
 
 
@@ -109,54 +114,79 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fingerprint string")
 
 
-def with_next(docs: DataFrame, rows_a_group: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(grp, id, text, follows), ordered within each group: every row once, and each group's end followed by the next
-    group's first row with ``follows`` set, so each row's successor in ascending id stands right behind it.
+def with_next(docs: DataFrame, group_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, times, follows): each partition is a range of rows in order, ended by the next range's first row with
+    ``follows`` set, so each row's successor stands right behind it. The last row is followed by the first one.
 
-    Groups are ranges of ids cut at quantiles; only the cuts and each group's first row are handled as a whole, at most
-    4,096 of them. Rows without an id come first; rows of one id are ordered by their text. The last row is followed by
-    the first one.
+    Rows are in order of id (none comes first), then of their text's hash. Spark cuts ranges over these keys alone, without
+    the texts, so many rows of one id or without any spread over ranges. Equal rows that fill whole ranges are one row
+    with their number in ``times``, which is 1 otherwise. The driver keeps a key for each ``group_bytes`` of text or so.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = docs.count()
-    groups = int(min(4096, max(partitions(spark) * 2, n // rows_a_group, 1)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("id", [i / groups for i in range(1, groups)], 100 * groups).alias("q")).first()["q"] or [])) if groups > 1 and n else []
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(partitions(spark) * 2, -(-total // group_bytes))
+    keys = rows.select(F.col("id").isNotNull().alias("known"), "id", "hash")
+    ranges = keys.repartitionByRange(groups, "known", "id", "hash", F.rand(0)).groupBy(F.spark_partition_id().alias("part"))
+    begins = Counter((r["k"]["known"], r["k"]["id"] or 0, r["k"]["hash"]) for r in ranges.agg(F.min(F.struct("known", "id", "hash")).alias("k")).collect())
+    firsts = sorted(begins)
+    without = np.array([h for known, _, h in firsts if not known], np.int64)
+    cut_ids = np.array([i for known, i, _ in firsts if known], np.int64)
+    cut_hashes = np.array([h for known, _, h in firsts if known], np.int64)
 
     @F.pandas_udf("int")
-    def group(ids):
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(np.array(cuts, np.int64), ids.fillna(0).to_numpy(np.int64), side="right")).astype("int32"))
-
-    ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
-    firsts = [(r["grp"], r["id"]) for r in ids.select("id", group("id").alias("grp")).groupBy("grp").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id"))["id"].alias("id")).collect()]
-    firsts.sort()
-    # a group's first row also ends the group before it; the first of all ends the last group
-    before = {g: firsts[i - 1][0] for i, (g, _) in enumerate(firsts)}
-    marks = spark.createDataFrame([(before[g], i) for g, i in firsts], "at int, first bigint")
-    own = rows.select(group("id").alias("grp"), "id", "text", F.lit(0).alias("follows"))
-    ends = rows.join(F.broadcast(marks), F.col("id").eqNullSafe(F.col("first"))).groupBy("at").agg(F.min(F.struct("id", "text")).alias("r")).select(F.col("at").alias("grp"), "r.id", "r.text", F.lit(1).alias("follows"))
-    return own.unionAll(ends).repartition(max(partitions(spark), 1), "grp").sortWithinPartitions("grp", "follows", "id", "text")
-
-
-def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def group(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        known, h = ids.notna().to_numpy(), hashes.to_numpy(np.int64)
+        i = ids.fillna(0).to_numpy(np.int64)
+        out = np.searchsorted(without, h, side="right")  # ranges that begin at or before the key
+        below, upto = (np.searchsorted(cut_ids, i, side=x) for x in ("left", "right"))
+        out[known] = len(without) + below[known]
+        among = known & (below < upto)
+        for b in np.unique(below[among]):
+            at = among & (below == b)
+            same = cut_hashes[b : np.searchsorted(cut_ids, cut_ids[b], side="right")]
+            out[at] += np.searchsorted(same, h[at], side="right")
+        return pd.Series((out - 1).clip(0).astype("int32"))
+
+    # a range's first row also ends the range before it; the first of all ends the last one
+    marks = spark.createDataFrame([((g - 1) % len(firsts), i if known else None, h, begins[known, i, h] > 1) for g, (known, i, h) in enumerate(firsts)], "grp int, i bigint, h bigint, many boolean")
+    key = F.expr("id <=> i and hash = h")
+    same = rows.join(F.broadcast(marks), key).groupBy("grp", "id", "hash", "many", "text").agg(F.count("*").alias("times"))
+    ends = same.groupBy("grp", "id", "hash").agg(F.min("text").alias("text")).select("grp", "id", "hash", "text", F.lit(1).alias("times"), F.lit(1).alias("follows"))
+    single = rows.join(F.broadcast(marks.where("many")), key, "left_anti").withColumn("times", F.lit(1))
+    own = single.unionByName(same.where("many").select("id", "text", "hash", "times"))
+    own = own.select(group("id", "hash").alias("grp"), "id", "hash", "text", "times", F.lit(0).alias("follows"))
+    ordered = own.unionAll(ends).repartitionById(max(len(firsts), 1), F.col("grp")).sortWithinPartitions("follows", "id", "hash", "text")
+    return ordered.select("id", "text", "times", "follows")
+
+
+def compare_with_edited(docs: DataFrame, group_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's fingerprint, that of its text with the last quarter replaced by the next row's beginning, and likenesses."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint", "times"]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64()]
+
+    def row(i: int | None, text: str, own: str, after: str, after_own: str, times: int) -> tuple:
+        cut = len(text) // 4
+        edited = (text[: len(text) - cut] + after[:cut]).encode()
+        return i, len(text), hashlib.sha256(edited).hexdigest(), own, fingerprint(edited), after_own, times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row before, without its successor as yet
         for batch in batches:
             out = []
-            for grp, i, text, follows in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for i, text, times, follows in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 own = fingerprint(text.encode())
                 if held is not None:
-                    was, t, fp = held
-                    cut = len(t) // 4
-                    edited = (t[: len(t) - cut] + text[:cut]).encode()
-                    out.append((was, len(t), hashlib.sha256(edited).hexdigest(), fp, fingerprint(edited), own))
+                    out.append(row(*held, text, own, 1))
+                if times > 1:  # all but the last of equal rows are followed by their like
+                    like = row(i, text, own, text, own, 1)
+                    out += [(*like[:-1], min(REPEATS, times - 1 - k)) for k in range(0, times - 1, REPEATS)]
                 held = None if follows else (i, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    found = with_next(small_batches(docs), id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
-    return found.withColumns({"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "next_fingerprint")}).drop("next_fingerprint")
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, times bigint"
+    found = with_next(small_batches(docs), id_col=id_col, text_col=text_col, group_bytes=group_bytes).mapInArrow(run, schema)
+    found = found.withColumns({"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "next_fingerprint")})
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("next_fingerprint", "times")
