@@ -11,6 +11,10 @@ repeats of ``window`` words or more. A window is told apart by its anchor (32 bi
 Before the shuffle a slice decides what it can itself: of equal windows in it only those of the smallest id are sent.
 So a passage that a third of all documents share costs one row's entry for each slice of text, not for each document.
 
+A short run of words may be the anchor in very many documents whose windows around it all differ. Such anchors are
+found in a sample of the texts, and their windows go to buckets by their own hash, one by one, so they spread over all
+buckets. The sample decides on places only: equal windows have equal anchors and meet in any case.
+
 Defined cases: null text has no words; rows without an id are neither sources of repeats nor cleaned; rows of one id
 don't clean one another; repeated rows get equal results; other columns are ignored.
 """
@@ -129,7 +133,7 @@ def _runs(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, *more: np.ndarra
     return np.flatnonzero(np.r_[True, new])
 
 
-def _packed(parts: list[tuple[int, int, int, bytes]], window: int, seed: int, buckets: int) -> Iterator[tuple]:
+def _packed(parts: list[tuple[int, int, int, bytes]], window: int, seed: int, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
     part, start, anchor, place, whole = windows(parts, window, seed)
     doc = np.array([p[0] for p in parts], np.int64)[part]
     copy = np.array([p[1] for p in parts], np.int64)[part]
@@ -142,9 +146,11 @@ def _packed(parts: list[tuple[int, int, int, bytes]], window: int, seed: int, bu
         # the slice has decided these; any bucket may pass them on
         yield int(d[0] % buckets), d[runs].tobytes(), c[runs].tobytes(), s[runs].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), b"", b"", b"", True
         doc, copy, start, anchor, place, whole = (x[~gone] for x in (doc, copy, start, anchor, place, whole))
-    runs = _runs(doc, copy, start, place)
+    alone = np.isin(anchor, hot)
+    runs = _runs(doc, copy, start, place, np.where(alone, np.arange(len(doc)), -1))
     n = np.diff(np.r_[runs, len(doc)])
-    bucket = ((anchor[runs] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    by = np.where(alone[runs], whole[runs] >> np.uint64(16), anchor[runs] & np.uint64(0xFFFFFFFF))
+    bucket = (by % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     runs, n, bucket = runs[order], n[order], bucket[order]
     ends = np.cumsum(n)
@@ -190,15 +196,37 @@ def _matched(table: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(np.concatenate(x)) for name, x in zip(("doc", "copy", "start", "count"), zip(*out, strict=True), strict=True)})
 
 
-def repeats(docs: DataFrame, window: int = 13, seed: int = 5, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_anchors(rows: DataFrame, window: int, seed: int, one_in: int, times: int, share: float) -> np.ndarray:
+    """Hashes of the anchors that ``times`` or more, and ``share``, of the sampled texts have; one text in ``one_in`` is sampled.
+
+    So they are at most 1 / share times as many as a text has anchors on average.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [p for k, t in enumerate(utf8(batch.column(0))) for p in _pieces(k, 0, t, window)]
+            for a, b in slices([len(p[3]) for p in parts]):
+                part, _, anchor, _, _ = windows(parts[a:b], window, seed)
+                pairs = np.unique(np.stack([part.astype(np.uint64), anchor]), axis=1)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64))], names=["anchor"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(one_in)) == 0).select("text")
+    least = max(times, share * sample.count())
+    found = sample.mapInArrow(run, "anchor bigint").groupBy("anchor").count().where(F.col("count") >= least).collect()
+    return np.array([r["anchor"] for r in found], np.int64).view(np.uint64)
+
+
+def repeats(docs: DataFrame, window: int = 13, seed: int = 5, bucket_bytes: int = 16 << 20, one_in: int = 1000, times: int = 40, share: float = 2e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, copy, start, count): runs of ``count`` windows from word ``start`` on that a smaller id also has.
 
     copy is xxhash64 of the text, which tells rows of one id apart. Runs of one text may touch and are joined by
-    :func:`maximal_repeats`. A bucket holds about what ``bucket_bytes`` of text give.
+    :func:`maximal_repeats`. A bucket holds about what ``bucket_bytes`` of text give. ``one_in``, ``times`` and ``share``
+    say which anchors are spread (:func:`frequent_anchors`); results don't depend on them.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // bucket_bytes))
+    hot = frequent_anchors(rows, window, seed, one_in, times, share)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PACK.split(", ")]
@@ -206,7 +234,7 @@ def repeats(docs: DataFrame, window: int = 13, seed: int = 5, bucket_bytes: int
         for batch in batches:
             parts = [p for d, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True) for p in _pieces(d, c, t, window)]
             for a, b in slices([len(p[3]) for p in parts]):
-                found = list(_packed(parts[a:b], window, seed, buckets))
+                found = list(_packed(parts[a:b], window, seed, buckets, hot))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
@@ -232,7 +260,7 @@ def _with_repeats(docs: DataFrame, id_col: str, text_col: str, **options) -> Dat
     return rows.join(found, ["doc", "copy"], "left").select("id", "text", "found")
 
 
-def maximal_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def maximal_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, start, end): the repeats themselves, as word numbers with an exclusive end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +268,15 @@ def maximal_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: st
             out = [(i, a, b) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b in _cover(f, window)]
             yield pa.RecordBatch.from_pylist([dict(zip(("id", "start", "end"), x, strict=True)) for x in out], schema=pa.schema([("id", batch.schema.field(0).type), ("start", pa.int64()), ("end", pa.int64())]))
 
-    rows = _with_repeats(docs, id_col, text_col, window=window, seed=seed).where("found is not null").select("id", "found")
+    rows = _with_repeats(docs, id_col, text_col, window=window, seed=seed, **options).where("found is not null").select("id", "found")
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, start bigint, end bigint")
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, seed: int = 5, digest: bool = False, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept): kept holds the other words joined by one space; with ``digest`` its SHA-256 is kept_sha256."""
+def dedup_substrings(docs: DataFrame, window: int = 13, seed: int = 5, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, n_words, n_removed, kept): kept holds the other words joined by one space; with ``digest`` its SHA-256 is kept_sha256.
+
+    Further options are those of :func:`repeats`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,5 +295,5 @@ def dedup_substrings(docs: DataFrame, window: int = 13, seed: int = 5, digest: b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", name])
 
     name = "kept_sha256" if digest else "kept"
-    rows = _with_repeats(docs, id_col, text_col, window=window, seed=seed, bucket_bytes=bucket_bytes)
+    rows = _with_repeats(docs, id_col, text_col, window=window, seed=seed, **options)
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_words bigint, n_removed bigint, {name} string")
