@@ -220,7 +220,8 @@ def repeats(docs: DataFrame, window: int = 13, seed: int = 5, bucket_bytes: int
     """(doc, copy, start, count): runs of ``count`` windows from word ``start`` on that a smaller id also has.
 
     copy is xxhash64 of the text, which tells rows of one id apart. Runs of one text may touch and are joined by
-    :func:`maximal_repeats`. A bucket holds about what ``bucket_bytes`` of text give. ``one_in``, ``times`` and ``share``
+    :func:`maximal_repeats`. A bucket is a task's work and holds about what
+    ``bucket_bytes`` of text give. ``one_in``, ``times`` and ``share``
     say which anchors are spread (:func:`frequent_anchors`); results don't depend on them.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
@@ -239,7 +240,7 @@ def repeats(docs: DataFrame, window: int = 13, seed: int = 5, bucket_bytes: int
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
     packed = rows.select("doc", F.xxhash64("text").alias("copy"), "text").mapInArrow(pack, PACK)
-    return packed.groupBy("bucket").applyInArrow(_matched, "doc bigint, copy bigint, start bigint, count bigint")
+    return packed.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_matched, "doc bigint, copy bigint, start bigint, count bigint")
 
 
 def _cover(found: list, window: int) -> list[tuple[int, int]]:
