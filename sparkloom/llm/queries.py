@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import ctph, decontaminate, langid, pii, quality, secrets, simhash, spm, substrings, urlfilter
+from . import ctph, decontaminate, divergence, langid, pii, quality, secrets, simhash, spm, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=13, digest=True).withColumnRenamed("id", "doc_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_fingerprints": op2_fingerprints,
@@ -74,10 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substrings": op10_substrings,
+    "op11_divergence": op11_divergence,
 }
 
 #: Where SQL can't express a query it is tested against a brute-force version or held-out accuracy.
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_url_filter": urlfilter.ORACLE,
+    "op11_divergence": divergence.ORACLE,
 }
