@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import ctph, decontaminate, divergence, langid, pii, quality, secrets, simhash, spm, substrings, urlfilter
+from . import ctph, decontaminate, divergence, langid, pii, quality, rules, secrets, simhash, spelling, spm, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"), least=3, top=200)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), shortest=7, least=2, every=31, ratio=10)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_fingerprints": op2_fingerprints,
@@ -79,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substrings": op10_substrings,
     "op11_divergence": op11_divergence,
+    "op12_spelling": op12_spelling,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 #: Where SQL can't express a query it is tested against a brute-force version or held-out accuracy.
@@ -86,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_url_filter": urlfilter.ORACLE,
     "op11_divergence": divergence.ORACLE,
+    "op13_quality_rules": rules.ORACLE,
 }
