@@ -146,6 +146,8 @@ def _packed(parts: list[tuple[int, int, int, bytes]], window: int, seed: int, bu
         # the slice has decided these; any bucket may pass them on
         yield int(d[0] % buckets), d[runs].tobytes(), c[runs].tobytes(), s[runs].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), b"", b"", b"", True
         doc, copy, start, anchor, place, whole = (x[~gone] for x in (doc, copy, start, anchor, place, whole))
+    if not len(doc):  # texts without a window, or all decided
+        return
     alone = np.isin(anchor, hot)
     runs = _runs(doc, copy, start, place, np.where(alone, np.arange(len(doc)), -1))
     n = np.diff(np.r_[runs, len(doc)])
@@ -159,7 +161,7 @@ def _packed(parts: list[tuple[int, int, int, bytes]], window: int, seed: int, bu
     low, high = (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((whole >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
     d, c, s, a = doc[runs], copy[runs], start[runs].astype(np.uint32), (anchor[runs] >> np.uint64(32)).astype(np.uint32)
     n = n.astype(np.uint32)
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(bucket) else []
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
     for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
         w = slice(int(ends[i] - n[i]), int(ends[j - 1]))
         yield int(bucket[i]), d[i:j].tobytes(), c[i:j].tobytes(), s[i:j].tobytes(), n[i:j].tobytes(), a[i:j].tobytes(), low[w].tobytes(), high[w].tobytes(), False
