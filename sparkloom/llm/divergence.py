@@ -3,14 +3,14 @@
 A language keeps the terms that at least ``least`` of its documents have. They are found by iceberg refinement of byte
 prefixes. A term's prefixes of ``first`` bytes, of twice as many, and so on, are counted level by level; a prefix that
 fewer than ``least`` distinct documents have is discarded with all terms that begin with it, and the others are extended,
-until complete terms remain. Tasks count the documents they read once: each row of their output is a term of one source
-with its occurrences, and the first row of a prefix carries the number of the task's documents that have the prefix. A
-document is read by one task only, so a level is a plain sum, exact, combined before its shuffle, and a prefix that all
-documents have is one row a task. What survives a level is a table that the next one reads.
+until complete terms remain. Tasks count blocks of whole documents: each row of their output is a term of one language
+with its occurrences in each source, and the first row of a prefix carries the number of the block's documents that have
+the prefix. A document is in one block only, so a level is a plain sum, exact, combined before its shuffle, and a prefix
+that all documents have is one row a block. What survives a level is a table that the next one reads.
 
 Shares are whole numbers (billionths, with one added to each count), so results don't depend on the order of sums. Terms
-with the same counts in every source are one row with a weight before pairs of sources are compared; a row compares its
-sources with the others of the language, so no more is held together than a language has sources.
+with the same counts in every source are one row with a weight before pairs of sources are compared, batch by batch; only
+sums for pairs are shuffled.
 
 Defined cases: null text, language and source are empty ones; every row is a document, whatever its id; a language
 without kept terms has pairs of value 0 and no terms; ties in value are ranked by the item's bytes; other columns are
@@ -20,10 +20,12 @@ length.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,70 +33,84 @@ from .common import small_batches, stage, unstage, utf8
 
 #: Bytes of letters in lower case, and a space for every other ASCII character.
 LETTERS = bytes(c if c > 0x7F else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
-#: Distinct terms, and bytes of them, that a task holds before it passes them on.
-HELD_TERMS = 150_000
-HELD_BYTES = 16 << 20
-TERMS = "lang string, source string, term binary, n bigint, docs array<bigint>"
+#: Bytes of text that are counted together.
+BLOCK_BYTES = 8 << 20
+TERMS = "lang string, term binary, docs array<bigint>, by array<struct<source: string, n: bigint>>"
 
 
-def terms_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LETTERS).split()
-
-
-def _lengths(size: int, first: int) -> Iterator[int]:
-    """Lengths of the proper prefixes that a term of ``size`` bytes is refined by."""
-    while first < size:
+def lengths(longest: int, first: int) -> Iterator[int]:
+    """Lengths of the proper prefixes by which terms of up to ``longest`` bytes are refined."""
+    while first < longest:
         yield first
         first *= 2
 
 
-class _Held:
-    """Counts of some whole documents."""
-
-    def __init__(self, first: int) -> None:
-        self.first, self.size = first, 0
-        self.terms: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[str, Counter] = defaultdict(Counter)  # documents that have a term, or a proper prefix of one
-
-    def add(self, lang: str, source: str, text: bytes | None) -> None:
-        found = Counter(terms_of(text))
-        self.terms[lang, source].update(found)
-        docs, length = self.docs[lang], self.first
-        docs.update((t, True) for t in found)
-        longer = [t for t in found if len(t) > length]
-        while longer:
-            docs.update({(t[:length], False) for t in longer})
-            length *= 2
-            longer = [t for t in longer if len(t) > length]
-        self.size += sum(map(len, found))
-
-    def full(self) -> bool:
-        return self.size > HELD_BYTES or sum(map(len, self.terms.values())) > HELD_TERMS
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), found in self.terms.items():
-            docs = self.docs[lang]
-            names = list(found)
-            for i in range(0, len(names), 20_000):
-                part = names[i : i + 20_000]
-                # counts go to the first row that can carry them, so that sums over rows are right
-                seen = [[*(docs.pop((t[:k], False), 0) for k in _lengths(len(t), self.first)), docs.pop((t, True), 0)] for t in part]
-                columns = [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array([found[t] for t in part], pa.int64()), pa.array(seen, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+def counted_block(langs: list[str], sources: list[str], texts: list[bytes | None], first: int) -> pa.RecordBatch | None:
+    """Rows of ``TERMS`` for some whole documents: terms and prefixes are numbers here, and counts sizes of equal runs."""
+    parts = pc.ascii_split_whitespace(pa.array([(t or b"").translate(LETTERS) for t in texts], pa.large_binary()).cast(pa.large_string()))
+    found, doc = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy().astype(np.int64)
+    real = pc.greater(pc.binary_length(found), 0)  # splitting leaves empty pieces at the ends
+    found, doc = found.filter(real).dictionary_encode(), doc[real.to_numpy(zero_copy_only=False)]
+    term, names = found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.large_binary())
+    size = len(names)
+    if not size:
+        return None
+    lang_names, lang = np.unique(np.array(langs, object), return_inverse=True)
+    group_names, group = np.unique(np.array([f"{a:09d}{s}" for a, s in zip(lang, sources, strict=True)], object), return_inverse=True)
+    # a row for each term of a language
+    rows = np.unique(lang[doc] * size + term)
+    row_lang, row_term = np.divmod(rows, size)
+    # of each source
+    keys, n = np.unique(group[doc] * size + term, return_counts=True)
+    of_group, of_term = np.divmod(keys, size)
+    group_lang = np.array([int(g[:9]) for g in group_names], np.int64)
+    at = np.searchsorted(rows, group_lang[of_group] * size + of_term)
+    order = np.argsort(at, kind="stable")
+    by = pa.StructArray.from_arrays([pa.array([g[9:] for g in group_names], pa.string()).take(pa.array(of_group[order])), pa.array(n[order], pa.int64())], names=["source", "n"])
+    by = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(at, minlength=len(rows)))].astype(np.int32)), by)
+    # documents of each prefix, on the first row that has it, and of each term
+    pairs = np.unique(doc * size + term)
+    own_doc, own = np.divmod(pairs, size)
+    width = pc.binary_length(names).to_numpy().astype(np.int64)
+    levels = list(lengths(int(width.max()), first))
+    per_row = np.searchsorted(np.array(levels, np.int64), width[row_term]) + 1
+    offset = np.r_[0, np.cumsum(per_row)]
+    docs = np.zeros(offset[-1], np.int64)
+    docs[offset[1:] - 1] = np.bincount(np.searchsorted(rows, lang[own_doc] * size + own), minlength=len(rows))
+    for k, length in enumerate(levels):
+        heads = pc.binary_slice(names, 0, length).dictionary_encode()
+        head, kinds = heads.indices.to_numpy().astype(np.int64), len(heads.dictionary)
+        longer = width[own] > length
+        own_doc, own = own_doc[longer], own[longer]
+        have = np.unique(own_doc * kinds + head[own])
+        prefixes, times = np.unique(lang[have // kinds] * kinds + have % kinds, return_counts=True)
+        deep = np.flatnonzero(width[row_term] > length)
+        same, place = np.unique(row_lang[deep] * kinds + head[row_term[deep]], return_index=True)
+        docs[offset[deep[place]] + k] = times[np.searchsorted(prefixes, same)]
+    columns = [pa.array(lang_names, pa.string()).take(pa.array(row_lang)), names.take(pa.array(row_term)).cast(pa.binary()), pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(docs)), by]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "by"])
 
 
 def counted_terms(docs: DataFrame, first: int = 4) -> DataFrame:
-    """(lang, source, term, n, docs): partial counts; docs[k] are documents with the term's k-th prefix, the last the term itself."""
+    """(lang, term, docs, by): partial counts; docs[k] are documents with the term's k-th prefix, the last the term itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(first)
+        held: list[tuple[str, str, bytes | None]] = []
+        size = 0
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
-                held.add(lang, source, text)
-                if held.full():
-                    yield from held.rows()
-                    held = _Held(first)
-        yield from held.rows()
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                held.append(row)
+                size += len(row[2] or b"")
+                if size > BLOCK_BYTES:
+                    yield from made(held)
+                    held, size = [], 0
+        if held:
+            yield from made(held)
+
+    def made(held: list[tuple[str, str, bytes | None]]) -> Iterator[pa.RecordBatch]:
+        block = counted_block(*map(list, zip(*held, strict=True)), first)
+        for i in range(0, len(block) if block else 0, 20_000):
+            yield block.slice(i, 20_000)
 
     return _named(docs, "text").mapInArrow(run, TERMS)
 
@@ -104,7 +120,7 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def kept_terms(docs: DataFrame, least: int = 3, first: int = 4) -> DataFrame:
-    """(lang, source, term, n): partial counts of the kept terms."""
+    """(lang, term, by): the kept terms, with partial counts of their sources."""
     now, out, level = stage(counted_terms(docs, first)), None, 0
     while now.head(1):
         keyed = now.select("*", F.substring("term", 1, first << level).alias("prefix"), (F.size("docs") == level + 1).alias("complete"))
@@ -114,10 +130,10 @@ def kept_terms(docs: DataFrame, least: int = 3, first: int = 4) -> DataFrame:
         if level == 0:
             unstage(now)
         unstage(frequent)
-        done = left.where("complete").select("lang", "source", "term", "n")
+        done = left.where("complete").select("lang", "term", "by")
         out = done if out is None else out.unionAll(done)
         now, level = left.where("not complete").drop("complete"), level + 1
-    return out if out is not None else now.select("lang", "source", "term", "n")
+    return out if out is not None else now.select("lang", "term", "by")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -131,13 +147,27 @@ def surprise(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums of :func:`surprise` for all pairs of a language's sources, from rows (lang, weight, shares)."""
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        starts = [0, *(i for i in range(1, len(langs)) if langs[i] != langs[i - 1]), len(langs)]
+        for i, j in pairwise(starts) if langs else ():
+            weight = batch.column(1).slice(i, j - i).to_numpy()
+            p = batch.column(2).slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)
+            n = p.shape[1]
+            sums = np.stack([(((p - p[:, b : b + 1]) ** 2 // p[:, b : b + 1]) * weight[:, None]).sum(0) for b in range(n)], axis=1)
+            a, b = np.divmod(np.flatnonzero(~np.eye(n, dtype=bool)), n)
+            yield pa.RecordBatch.from_arrays([pa.array([langs[i]] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(sums[a, b], pa.int64())], names=["lang", "a", "b", "value"])
+
+
 def divergence(docs: DataFrame, least: int = 3, top: int = 200, first: int = 4) -> DataFrame:
     """(lang, source, part, item, value, rank): for each source its distances to the others, and its most particular terms.
 
     Part ``pair`` has a row for each other source of the language, part ``term`` the ``top`` terms that are more frequent
     than in the language as a whole.
     """
-    rows = kept_terms(docs, least, first)
+    rows = kept_terms(docs, least, first).select("lang", "term", F.inline("by"))
     groups = _named(docs).distinct()
     # one row for each kept term, with its count in each source that has it
     terms = stage(rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("by"), F.sum("n").alias("n")))
@@ -155,18 +185,10 @@ def divergence(docs: DataFrame, least: int = 3, top: int = 200, first: int = 4)
     profiles = terms.groupBy("lang", "by").agg(F.count("*").alias("weight")).join(langs, "lang")
     counts = F.map_from_entries("by")
     shares = F.transform("sources", lambda s: share(F.coalesce(F.try_element_at(F.col("counts"), s["source"]), F.lit(0)), s["total"], F.col("terms")))
-    has = F.transform("sources", lambda s: F.map_contains_key(F.col("counts"), s["source"]))
-    profiles = profiles.withColumn("counts", counts).select("lang", "weight", shares.alias("shares"), has.alias("has"), F.size("sources").alias("n"))
-    each = profiles.select("*", F.posexplode("shares").alias("a", "p"))
-    # where neither source has a term the value depends on the sources alone, so these terms are counted at the end
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    other = F.filter(every, lambda b: (b != F.col("a")) & (F.get("has", F.col("a")) | F.get("has", b)))
-    met = each.select("lang", "a", "p", "weight", "shares", F.explode(other).alias("b"))
-    met = met.groupBy("lang", "a", "b").agg(F.sum(F.col("weight") * surprise(F.col("p"), F.get("shares", F.col("b")))).alias("value"), F.sum("weight").alias("met"))
-    sides = langs.select("lang", "terms", "sources", F.posexplode("sources").alias("a", "s")).select("lang", "terms", "a", "s", F.posexplode("sources").alias("b", "o")).where("a != b")
-    none = lambda s: share(F.lit(0), s["total"], F.greatest("terms", F.lit(1)))
-    rest = surprise(none(F.col("s")), none(F.col("o"))) * (F.col("terms") - F.coalesce("met", F.lit(0)))
-    pairs = sides.join(met, ["lang", "a", "b"], "left").select("lang", F.col("s.source").alias("source"), F.lit("pair").alias("part"), F.col("o.source").alias("item"), (F.coalesce("value", F.lit(0)) + rest).alias("value"))
+    profiles = profiles.withColumn("counts", counts).select("lang", "weight", shares.alias("shares"))
+    met = profiles.mapInArrow(compared, "lang string, a int, b int, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sides = langs.select("lang", "sources", F.posexplode("sources").alias("a", "s")).select("lang", "a", "s", F.posexplode("sources").alias("b", "o")).where("a != b")
+    pairs = sides.join(met, ["lang", "a", "b"], "left").select("lang", F.col("s.source").alias("source"), F.lit("pair").alias("part"), F.col("o.source").alias("item"), F.coalesce("value", F.lit(0)).alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(best))
     return own.select(*pairs.columns).unionAll(pairs)
 

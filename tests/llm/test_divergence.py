@@ -51,9 +51,9 @@ def rows():
 COLUMNS = "text string, lang string, source string"
 
 
-@pytest.mark.parametrize("held", [1, 40, 150_000])
-def test_divergence_by_brute_force(spark, rows, held, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD_TERMS", held)  # tasks get it with the function
+@pytest.mark.parametrize("size", [1, 400, 8 << 20])
+def test_divergence_by_brute_force(spark, rows, size, monkeypatch):
+    monkeypatch.setattr(divergence, "BLOCK_BYTES", size)  # a task gets it with the function
     docs = spark.createDataFrame(rows, COLUMNS).repartition(5)
     assert got(divergence.divergence(docs, top=4)) == expected(rows, top=4)
 
@@ -68,11 +68,11 @@ def test_prefixes_are_counted_by_documents(spark):
     rows = [("abcdex abcdey abcdez", "en", "a")] * 2 + [(f"pqrst{c}", "en", "a") for c in "xyz"]
     assert divergence.kept_terms(spark.createDataFrame(rows, COLUMNS)).collect() == []
     assert {r.term for r in divergence.kept_terms(spark.createDataFrame(rows[:2] * 2, COLUMNS)).collect()} == {b"abcdex", b"abcdey", b"abcdez"}
-    held = divergence._Held(4)
-    for t in (b"abcdex abcdey", b"abcdex", b"none"):
-        held.add("en", "s", t)
-    docs = {r["term"]: r["docs"] for b in held.rows() for r in b.to_pylist()}
-    assert docs == {b"abcdex": [2, 2], b"abcdey": [0, 1], b"none": [1]}
+    block = divergence.counted_block(["en", "en", "de", "en"], ["s", "t", "s", "s"], [b"abcdex Abcdey abcdex", b"abcdex 1", b"none abcdex", None], 4)
+    assert {(r["lang"], r["term"]): (r["docs"], [tuple(x.values()) for x in r["by"]]) for r in block.to_pylist()} == {
+        ("en", b"abcdex"): ([2, 2], [("s", 2), ("t", 1)]), ("en", b"abcdey"): ([0, 1], [("s", 1)]), ("de", b"none"): ([1], [("s", 1)]), ("de", b"abcdex"): ([1, 1], [("s", 1)]),
+    }
+    assert divergence.counted_block(["en"], ["s"], [b"1 2"], 4) is None
 
 
 def test_counts_beyond_64_bits(spark):
