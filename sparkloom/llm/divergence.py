@@ -21,7 +21,6 @@ length.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from .common import small_batches, stage, unstage, utf8
 #: Bytes of letters in lower case, and a space for every other ASCII character.
 LETTERS = bytes(c if c > 0x7F else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 #: Bytes of text that are counted together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 TERMS = "lang string, term binary, docs array<bigint>, by array<struct<source: string, n: bigint>>"
 
 
@@ -45,6 +44,12 @@ def lengths(longest: int, first: int) -> Iterator[int]:
         first *= 2
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats; numpy's own goes by hashing, which takes longer here."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.r_[True, x[1:] != x[:-1]])] if len(x) else x
+
+
 def counted_block(langs: list[str], sources: list[str], texts: list[bytes | None], first: int) -> pa.RecordBatch | None:
     """Rows of ``TERMS`` for some whole documents: terms and prefixes are numbers here, and counts sizes of equal runs."""
     parts = pc.ascii_split_whitespace(pa.array([(t or b"").translate(LETTERS) for t in texts], pa.large_binary()).cast(pa.large_string()))
@@ -57,32 +62,35 @@ def counted_block(langs: list[str], sources: list[str], texts: list[bytes | None
         return None
     lang_names, lang = np.unique(np.array(langs, object), return_inverse=True)
     group_names, group = np.unique(np.array([f"{a:09d}{s}" for a, s in zip(lang, sources, strict=True)], object), return_inverse=True)
-    # a row for each term of a language
-    rows = np.unique(lang[doc] * size + term)
-    row_lang, row_term = np.divmod(rows, size)
-    # of each source
+    # occurrences in each source
     keys, n = np.unique(group[doc] * size + term, return_counts=True)
     of_group, of_term = np.divmod(keys, size)
+    # a row for each term of a language
     group_lang = np.array([int(g[:9]) for g in group_names], np.int64)
-    at = np.searchsorted(rows, group_lang[of_group] * size + of_term)
+    there = np.zeros(len(lang_names) * size, bool)
+    there[group_lang[of_group] * size + of_term] = True
+    rows = np.flatnonzero(there)
+    row_lang, row_term = np.divmod(rows, size)
+    row_of = np.cumsum(there) - 1
+    at = row_of[group_lang[of_group] * size + of_term]
     order = np.argsort(at, kind="stable")
     by = pa.StructArray.from_arrays([pa.array([g[9:] for g in group_names], pa.string()).take(pa.array(of_group[order])), pa.array(n[order], pa.int64())], names=["source", "n"])
     by = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(at, minlength=len(rows)))].astype(np.int32)), by)
     # documents of each prefix, on the first row that has it, and of each term
-    pairs = np.unique(doc * size + term)
+    pairs = _distinct(doc * size + term)
     own_doc, own = np.divmod(pairs, size)
     width = pc.binary_length(names).to_numpy().astype(np.int64)
     levels = list(lengths(int(width.max()), first))
     per_row = np.searchsorted(np.array(levels, np.int64), width[row_term]) + 1
     offset = np.r_[0, np.cumsum(per_row)]
     docs = np.zeros(offset[-1], np.int64)
-    docs[offset[1:] - 1] = np.bincount(np.searchsorted(rows, lang[own_doc] * size + own), minlength=len(rows))
+    docs[offset[1:] - 1] = np.bincount(row_of[lang[own_doc] * size + own], minlength=len(rows))
     for k, length in enumerate(levels):
         heads = pc.binary_slice(names, 0, length).dictionary_encode()
         head, kinds = heads.indices.to_numpy().astype(np.int64), len(heads.dictionary)
         longer = width[own] > length
         own_doc, own = own_doc[longer], own[longer]
-        have = np.unique(own_doc * kinds + head[own])
+        have = _distinct(own_doc * kinds + head[own])
         prefixes, times = np.unique(lang[have // kinds] * kinds + have % kinds, return_counts=True)
         deep = np.flatnonzero(width[row_term] > length)
         same, place = np.unique(row_lang[deep] * kinds + head[row_term[deep]], return_index=True)
@@ -91,7 +99,7 @@ def counted_block(langs: list[str], sources: list[str], texts: list[bytes | None
     return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "by"])
 
 
-def counted_terms(docs: DataFrame, first: int = 4) -> DataFrame:
+def counted_terms(docs: DataFrame, first: int = 8) -> DataFrame:
     """(lang, term, docs, by): partial counts; docs[k] are documents with the term's k-th prefix, the last the term itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +127,7 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
     return small_batches(docs).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), *(F.col(c).cast("string").alias(c) for c in more))
 
 
-def kept_terms(docs: DataFrame, least: int = 3, first: int = 4) -> DataFrame:
+def kept_terms(docs: DataFrame, least: int = 3, first: int = 8) -> DataFrame:
     """(lang, term, by): the kept terms, with partial counts of their sources."""
     now, out, level = stage(counted_terms(docs, first)), None, 0
     while now.head(1):
@@ -147,21 +155,35 @@ def surprise(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+#: Sums of pairs that a task holds before it passes them on.
+HELD_PAIRS = 1 << 20
+
+
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums of :func:`surprise` for all pairs of a language's sources, from rows (lang, weight, shares)."""
+    held: dict[str, np.ndarray] = {}
+
+    def made() -> Iterator[pa.RecordBatch]:
+        for lang, sums in held.items():
+            a, b = np.divmod(np.flatnonzero(~np.eye(len(sums), dtype=bool)), len(sums))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(sums[a, b], pa.int64())], names=["lang", "a", "b", "value"])
+
     for batch in batches:
-        langs = batch.column(0).to_pylist()
-        starts = [0, *(i for i in range(1, len(langs)) if langs[i] != langs[i - 1]), len(langs)]
-        for i, j in pairwise(starts) if langs else ():
-            weight = batch.column(1).slice(i, j - i).to_numpy()
-            p = batch.column(2).slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)
-            n = p.shape[1]
-            sums = np.stack([(((p - p[:, b : b + 1]) ** 2 // p[:, b : b + 1]) * weight[:, None]).sum(0) for b in range(n)], axis=1)
-            a, b = np.divmod(np.flatnonzero(~np.eye(n, dtype=bool)), n)
-            yield pa.RecordBatch.from_arrays([pa.array([langs[i]] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(sums[a, b], pa.int64())], names=["lang", "a", "b", "value"])
-
-
-def divergence(docs: DataFrame, least: int = 3, top: int = 200, first: int = 4) -> DataFrame:
+        langs = np.array(batch.column(0).to_pylist(), object)
+        for lang in set(langs):
+            at = np.flatnonzero(langs == lang)
+            part = batch.take(pa.array(at))
+            p = part.column(2).flatten().to_numpy().reshape(len(at), -1)
+            weight = part.column(1).to_numpy()[:, None]
+            sums = np.stack([((p - p[:, b : b + 1]) ** 2 // p[:, b : b + 1] * weight).sum(0) for b in range(p.shape[1])], axis=1)
+            held[lang] = held[lang] + sums if lang in held else sums
+        if sum(x.size for x in held.values()) > HELD_PAIRS:
+            yield from made()
+            held.clear()
+    yield from made()
+
+
+def divergence(docs: DataFrame, least: int = 3, top: int = 200, first: int = 8) -> DataFrame:
     """(lang, source, part, item, value, rank): for each source its distances to the others, and its most particular terms.
 
     Part ``pair`` has a row for each other source of the language, part ``term`` the ``top`` terms that are more frequent
