@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codelang, links, pages
+from ..functions import codelang, links, pages, replies
 from ..operators import extract, markdown, split
 from ..session import spread, stage
 from ..sources.pages import with_output_path
@@ -126,6 +126,15 @@ def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy("source").agg(F.count("*").alias("items"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+def rating_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean rating by role of replies made from the conversations' turns; some are cut off, out of range or without a score."""
+    turns = table(spark, sf_dir, "conversations").select("role", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text"))
+    issues = F.slice(F.split("text", " "), F.lit(1), F.col("n") % 15)
+    whole = F.to_json(F.struct(F.col("text").alias("analysis"), issues.alias("issues"), F.when(F.col("n") % 11 != 0, F.col("n") % 111).alias("score")))
+    reply = F.when(F.col("n") % 7 == 0, F.substring(whole, F.lit(1), F.col("n"))).when(F.col("n") % 13 == 0, F.col("text")).otherwise(whole)
+    return replies.mean_rating(turns.withColumn("reply", reply), "reply", "role")
+
+
 def word_slices(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
     """Documents in slices of so many words."""
     words = F.filter(F.split("text", "[ \t\n\r\f\u000b]+"), lambda w: w != "")
@@ -135,7 +144,7 @@ def word_slices(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (page_lang, page_nodes, page_elements, page_decisions, page_markdown, page_markdown_ai, page_pairs, page_minimal, page_chunks, page_links, page_files, title_distance, title_distances, code_language, code_language_pages, mean_scores, word_slices)
+    for f in (page_lang, page_nodes, page_elements, page_decisions, page_markdown, page_markdown_ai, page_pairs, page_minimal, page_chunks, page_links, page_files, title_distance, title_distances, code_language, code_language_pages, mean_scores, rating_replies, word_slices)
 }
 
 # Text of the markup: metadata elements, comments and tags removed, the four references of the tables decoded.
@@ -191,6 +200,11 @@ SELECT page_id, levenshtein(nullif(title, ''), nullif(heading, ''))::INTEGER AS
     "code_language": _code_sql("documents", "doc_id", "text"),
     "code_language_pages": _code_sql("pages", "page_id", "html", ", " + ", ".join(f"({_score(dict(codelang.LANGUAGES)[k], 'html')})::BIGINT AS {k}_score" for k in ("html", "ts", "py"))),
     "mean_scores": "SELECT source, count(*) AS items, round(avg(coalesce(quality, -1)), 6) AS mean_score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+    "rating_replies": """
+WITH t AS (SELECT role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+r AS (SELECT role, n, n % 7 <> 0 AND n % 13 <> 0 AND n % 11 <> 0 AND n % 111 <= 100 AS good, len(string_split(text, ' ')) AS words FROM t)
+SELECT role, count(*) AS items, count(*) FILTER (NOT good) AS failed, round(avg(CASE WHEN good THEN n % 111 ELSE -1 END), 6) AS mean_score, CAST(sum(CASE WHEN good THEN least(n % 15, words) ELSE 0 END) AS BIGINT) AS issues FROM r GROUP BY role
+""",
     "word_slices": f"WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents), s AS (SELECT doc_id, words, unnest(range(1, len(words) + 1, 200)) AS i FROM w) SELECT doc_id, ((i - 1) // 200 + 1)::BIGINT AS slice_no, len(words[i:i + 199])::BIGINT AS words, md5(array_to_string(words[i:i + 199], ' ')) AS digest FROM s",
 }
 ORACLES["title_distances"] = ORACLES["title_distance"]
