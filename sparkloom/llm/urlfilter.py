@@ -9,12 +9,15 @@ Rules meet distinct hosts, not pages, so a host with a third of all pages costs
 back by host, broadcast only where its counted rows allow it. All of it is DataFrame work on the JVM.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path, no rule, no aliases and are allowed;
-links are completed from their page's url; fragments, a host's letter case, default ports and percent-encoding don't
+links count as elements only, not in comments, scripts or attribute values, and are completed from their page's base
+address or url; fragments, a host's letter case, default ports and percent-encoding don't
 tell urls apart as aliases; of two rules with the same host and path, block wins; repeated rows each get the verdict; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,17 +66,66 @@ def apply_rules(urls: DataFrame, rules: DataFrame, broadcast_rows: int = 100_000
     return out.withColumn("best", best).select(*urls.columns, F.col("best.rule").alias("rule"), F.when(F.col("best.block"), "block").when(~F.col("best.block"), "allow").alias("explicit"))
 
 
+#: A tag's attributes; a quoted value may hold ``>``, and quotes elsewhere are letters like any other.
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+(?:"|\z)|=\s*+'[^']*+(?:'|\z)|[="'])*+(?:>|\z)"""
+#: One left-to-right pass over markup: comments, elements whose contents are no elements of the page, other tags, and bogus comments.
+TOKEN = (
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+    rf"|<(script|style|textarea|title|xmp|iframe|noembed|noframes|template)(?=[\s/>]){_ATTRIBUTES}.*?(?:</\1(?=[\s/>])|\z)"
+    rf"|</?[a-z]{_ATTRIBUTES}"
+    r"|<[!?/][^>]*+(?:>|\z)"
+)
+ATTRIBUTE = r"""(?s)[^\s"'>/=][^\s>/=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+))?"""
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+REFRESH = r"""(?is)^\s*(?=[0-9.])[0-9.]*(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:'([^']*).*|"([^"]*).*|([^'"].*))$"""
+
+
+def _unescaped(text: Column) -> Column:
+    """``text`` with its character references decoded: numbers, and names of single letters up to U+00FF."""
+    names = F.create_map(*(F.lit(part) for name, letter in html5.items() if name.endswith(";") and len(letter) == 1 and letter <= "\xff" for part in ("&" + name, letter)))
+
+    def letter(ref: Column) -> Column:
+        number = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX](.*);$", 1), 16, 10)).when(ref.startswith("&#"), F.regexp_extract(ref, "^&#(.*);$", 1)).cast("bigint")
+        known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(known, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(ref.startswith("&#"), point).otherwise(F.try_element_at(names, ref)), ref)
+
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), letter)
+    return F.array_join(F.zip_with(F.split(text, REFERENCE), decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, decoded; null where it has none."""
+    all_of_them = F.regexp_extract_all(F.regexp_replace(tag, r"^<[^\s/>]*", ""), F.lit(ATTRIBUTE), F.lit(0))
+    first = F.get(F.filter(all_of_them, lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name), F.lit(0))
+    return _unescaped(F.regexp_replace(F.regexp_replace(first, r"(?s)^[^\s=]+\s*=?\s*", ""), r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) from the canonical links and immediate or timed refreshes in pages' HTML."""
-    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("contains(url, '://')").where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    tags = F.flatten(F.array(*(F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in (r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"))))
-    rows = rows.select("url", F.explode(tags).alias("tag"))
-    quoted = r"\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    href = F.concat(*(F.regexp_extract("tag", r"(?is)\bhref\s*=" + quoted, i) for i in (1, 2, 3)))
-    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?([^\"'>]+)", 1)
-    rows = rows.select("url", F.regexp_replace(F.trim(F.when(F.col("tag").rlike("(?is)^<link"), href).otherwise(refresh)), "&amp;", "&").alias("to"))
-    target = F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("to")).when(F.col("to") != "", resolve_url(F.col("to"), F.col("url")))
-    return rows.select(F.col("url").alias("src"), target.alias("dst")).where("contains(dst, '://')")
+    """(src, dst) from the canonical links and immediate or timed refreshes among the elements of pages' HTML.
+
+    Comments, scripts, styles, templates (up to their first end tag), other elements of plain text and attribute values
+    hold no elements. The page's first base element with an address completes relative targets. References count with
+    their semicolon.
+    """
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("contains(url, '://')").where(F.col("html").rlike("(?i)<link|<meta"))
+    wanted = r"(?is)^<base[\s/].*>$|^<(?:link|meta)[\s/].*(?:canonical|refresh|&).*>$"
+    rows = rows.select("url", F.filter(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(wanted)).alias("tags"), F.xxhash64("html").alias("copy"))
+    rows = stage(rows.select("url", "copy", F.posexplode("tags").alias("at", "tag")).distinct())
+    # each step is staged or a projection of its own, as every use of a column would repeat what it is made of
+    names = {name: _attribute(F.col("tag"), name) for name in ("href", "rel", "http-equiv", "content")}
+    rows = stage(rows.select("url", "copy", "at", F.lower(F.regexp_extract("tag", "^<([A-Za-z]+)", 1)).alias("kind"), *(value.alias(name) for name, value in names.items())))
+    canonical = (F.col("kind") == "link") & F.array_contains(F.split(F.lower("rel"), r"[\t\n\f\r ]+"), "canonical")
+    refresh = (F.col("kind") == "meta") & (F.lower("http-equiv") == "refresh")
+    to = F.when(canonical, F.col("href")).when(refresh, F.concat(*(F.regexp_extract("content", REFRESH, i) for i in (1, 2, 3))))
+    bases = rows.where("kind = 'base' and href is not null").groupBy("url", "copy").agg(F.min_by("href", "at").alias("to"))
+    trimmed = F.regexp_replace(F.regexp_replace("to", r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    completed = F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("to")).when(F.col("to") != "", resolve_url(F.col("to"), F.col("base")))
+    bases = stage(bases.select("url", "copy", F.col("url").alias("base"), trimmed.alias("to")))
+    bases = stage(bases.select("url", "copy", completed.alias("base")))
+    rows = stage(rows.select("url", "copy", to.alias("to")))
+    rows = stage(rows.where("to is not null").join(bases, ["url", "copy"], "left").select("url", F.coalesce("base", "url").alias("base"), trimmed.alias("to")))
+    return stage(rows.select(F.col("url").alias("src"), completed.alias("dst"))).where("contains(dst, '://')")
 
 
 def _same(url: str) -> Column:

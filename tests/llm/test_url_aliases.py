@@ -62,3 +62,39 @@ def test_spellings_of_one_address(spark):
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert {r.page_id: r.verdict for r in urlfilter.judge(table, urlfilter.rules_table(spark)).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
     assert urlfilter.judge(table.where("false"), urlfilter.rules_table(spark)).count() == 0
+
+
+BLOCKED = '<link rel="canonical" href="http://b.org/es/1">'
+
+
+def test_only_elements_make_edges(spark):
+    pages = {
+        "<!-- " + BLOCKED + " -->": None,
+        "<script>var x = '" + BLOCKED + "'; // <!--</script>": None,
+        "<STYLE media='a>b'>" + BLOCKED + "</STYLE >": None,
+        "<title>" + BLOCKED: None,
+        "<template>" + BLOCKED + "</template>": None,
+        "<div data-x='" + BLOCKED + "'>": None,
+        '<link data-rel="canonical" href="http://b.org/es/1">': None,
+        '<link title=" rel=canonical " rel=next href="http://b.org/es/1">': None,
+        '<meta name="refresh" content="0; url=http://b.org/es/1">': None,
+        '<meta http-equiv="refresh" content="5">': None,
+        "<![CDATA[ " + BLOCKED + " ]]>": None,
+        "<!-->" + BLOCKED + "<!-- -->": "http://b.org/es/1",
+        "<script>'<!--'</script>" + BLOCKED: "http://b.org/es/1",
+        "<a title='>' b'>" + BLOCKED: "http://b.org/es/1",
+        "<LINK HREF = http://b.org/es/1/ REL = Canonical>": "http://b.org/es/1/",
+        "<link rel=canonical href='&#104;ttp&colon;&sol;&#x2F;b.org/es/1?a=1&amp;b=2&copy=&#x1F600;&nosuch;'>": "http://b.org/es/1?a=1&b=2&copy=\U0001f600&nosuch;",
+        "<base target=x><base href='http://b.org/es/'><base href='http://c.org/'><link rel=canonical href=1>": "http://b.org/es/1",
+        "<link rel=canonical href='q'><base href='/es/x'>": "http://a.org/es/q",
+        "<link rel=canonical href=' http://b.\norg/es/1 '>": "http://b.org/es/1",
+        "<meta http-equiv=Refresh content='0;http://b.org/es/1'>": "http://b.org/es/1",
+        "<meta content=\"3, URL = 'http://b.org/es/1' x\" http-equiv=refresh>": "http://b.org/es/1",
+    }
+    rows = [(f"http://a.org/fr/{i}", html) for i, html in enumerate(pages)] + [("http://a.org/fr/null", None), (None, BLOCKED), ("http://a.org/fr/long", "<p title='" + "x" * 300_000 + "'>" + "<i>" * 100_000 + BLOCKED)]
+    rows += [("http://a.org/fr/two", "<base href='http://b.org/es/'><link rel=canonical href=1>"), ("http://a.org/fr/two", "<link rel=canonical href=1>")] * 2
+    edges = urlfilter.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert {r.dst for r in edges if r.src == "http://a.org/fr/two"} == {"http://b.org/es/1", "http://a.org/fr/1"}
+    got = {r.src: r.dst for r in edges if r.src != "http://a.org/fr/two"}
+    expected = {f"http://a.org/fr/{i}": to for i, to in enumerate(pages.values()) if to} | {"http://a.org/fr/long": "http://b.org/es/1"}
+    assert got == expected
