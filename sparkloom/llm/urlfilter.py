@@ -112,6 +112,8 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     wanted = r"(?is)^<base[\s/].*>$|^<(?:link|meta)[\s/].*(?:canonical|refresh|&).*>$"
     rows = rows.select("url", F.filter(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(wanted)).alias("tags"), F.xxhash64("html").alias("copy"))
     rows = stage(rows.select("url", "copy", F.posexplode("tags").alias("at", "tag")).distinct())
+    if not rows.head(1):
+        return pages.sparkSession.createDataFrame([], "src string, dst string")
     # each step is staged or a projection of its own, as every use of a column would repeat what it is made of
     names = {name: _attribute(F.col("tag"), name) for name in ("href", "rel", "http-equiv", "content")}
     rows = stage(rows.select("url", "copy", "at", F.lower(F.regexp_extract("tag", "^<([A-Za-z]+)", 1)).alias("kind"), *(value.alias(name) for name, value in names.items())))
