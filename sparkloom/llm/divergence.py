@@ -3,7 +3,7 @@
 A language keeps the terms that at least ``least`` of its documents have. They are found by iceberg refinement of byte
 prefixes. A term's prefixes of ``first`` bytes, of twice as many, and so on, are counted level by level; a prefix that
 fewer than ``least`` distinct documents have is discarded with all terms that begin with it, and the others are extended,
-until complete terms remain. Tasks count blocks of whole documents: each row of their output is a term of one language
+until complete terms remain, whose own documents are counted with their occurrences. Tasks count blocks of whole documents: each row of their output is a term of one language
 with its occurrences in each source, and the first row of a prefix carries the number of the block's documents that have
 the prefix. A document is in one block only, so a level is a plain sum, exact, combined before its shuffle, and a prefix
 that all documents have is one row a block. What survives a level is a table that the next one reads.
@@ -128,20 +128,31 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def kept_terms(docs: DataFrame, least: int = 3, first: int = 8) -> DataFrame:
-    """(lang, term, by): the kept terms, with partial counts of their sources."""
-    now, out, level = stage(counted_terms(docs, first)), None, 0
-    while now.head(1):
-        keyed = now.select("*", F.substring("term", 1, first << level).alias("prefix"), (F.size("docs") == level + 1).alias("complete"))
-        frequent = stage(keyed.groupBy("lang", "prefix", "complete").agg(F.sum(F.get("docs", F.lit(level))).alias("have")).where(F.col("have") >= least).drop("have"))
-        # Spark broadcasts the prefixes where their table is below its own limit, and else joins by sort
-        left = stage(keyed.join(frequent, ["lang", "prefix", "complete"]).select(*now.columns, "complete"), "complete")
-        if level == 0:
-            unstage(now)
-        unstage(frequent)
-        done = left.where("complete").select("lang", "term", "by")
+    """(lang, term, by, n), staged: the kept terms with their occurrences in each source that has them, and in all.
+
+    A term that a level completes has its documents counted along with its occurrences, on the first of its sources, so
+    only longer terms are joined with the prefixes that are left.
+    """
+    levels, out = [stage(counted_terms(docs, first))], None
+    while True:
+        now, level = levels[-1], len(levels) - 1
+        done = now.where(F.size("docs") == level + 1).select("lang", "term", F.element_at("docs", -1).alias("docs"), F.posexplode("by").alias("at", "s"))
         out = done if out is None else out.unionAll(done)
-        now, level = left.where("not complete").drop("complete"), level + 1
-    return out if out is not None else now.select("lang", "term", "by")
+        longer = now.where(F.size("docs") > level + 1)
+        if not longer.select("lang").head(1):
+            break
+        keyed = longer.select("*", F.substring("term", 1, first << level).alias("prefix"))
+        frequent = stage(keyed.groupBy("prefix", "lang").agg(F.sum(F.get("docs", F.lit(level))).alias("have")).where(F.col("have") >= least).drop("have"))
+        # Spark broadcasts the prefixes where their table is below its own limit, and else joins by sort, prefixes first as they differ most
+        levels.append(stage(keyed.join(frequent, ["prefix", "lang"]).select(*now.columns)))
+        unstage(frequent)
+    counts = out.select("lang", "s.source", "term", "s.n", F.when(F.col("at") == 0, F.col("docs")).otherwise(0).alias("docs"))
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = counts.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("by"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = stage(terms.where(F.col("docs") >= least).drop("docs"))
+    for made in levels:
+        unstage(made)
+    return terms
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -189,10 +200,8 @@ def divergence(docs: DataFrame, least: int = 3, top: int = 200, first: int = 8)
     Part ``pair`` has a row for each other source of the language, part ``term`` the ``top`` terms that are more frequent
     than in the language as a whole.
     """
-    rows = kept_terms(docs, least, first).select("lang", "term", F.inline("by"))
     groups = _named(docs).distinct()
-    # one row for each kept term, with its count in each source that has it
-    terms = stage(rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("by"), F.sum("n").alias("n")))
+    terms = kept_terms(docs, least, first)
     of_source = terms.select("lang", F.explode("by").alias("s")).groupBy("lang", F.col("s.source").alias("source")).agg(F.sum("s.n").alias("total"))
     of_lang = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
     figures = stage(groups.join(of_source, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0, ["total", "terms", "lang_total"]))

@@ -75,6 +75,16 @@ def test_prefixes_are_counted_by_documents(spark):
     assert divergence.counted_block(["en"], ["s"], [b"1 2"], 4) is None
 
 
+def test_short_terms_are_counted_once(spark, monkeypatch):
+    # terms that the first level completes are summed once: nothing of them is joined or written in between
+    made, stage = [], divergence.stage
+    monkeypatch.setattr(divergence, "stage", lambda df, *by: made.append(df.columns) or stage(df, *by))
+    rows = [("ab cd ab", "en", "s"), ("ab", "en", "t"), ("ab cd", "de", "s"), ("ab", "en", "s"), ("cd", "en", None)]
+    found = divergence.kept_terms(spark.createDataFrame(rows, COLUMNS).repartition(4)).collect()
+    assert [(r.lang, r.term, [tuple(s) for s in r.by], r.n) for r in found] == [("en", b"ab", [("s", 3), ("t", 1)], 4)]
+    assert len(made) == 2
+
+
 def test_counts_beyond_64_bits(spark):
     df = spark.createDataFrame([(8 * 10**17, 9 * 10**17, 5)], "n bigint, total bigint, v bigint")
     assert df.select(divergence.share(F.col("n"), F.col("total"), F.col("v"))).first()[0] == 1 + 10**9 * (8 * 10**17 + 1) // (9 * 10**17 + 5)
