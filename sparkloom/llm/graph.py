@@ -23,24 +23,39 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     return out.where("u != v").distinct(), least
 
 
+def _edges(edges: DataFrame) -> DataFrame:
+    """Staged (u, v) with u > v, from the first two columns."""
+    a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
+    return stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
+
+
+def _round(now: DataFrame) -> DataFrame:
+    for large in (True, False):
+        made, least = _star(now, large)
+        made = stage(made)
+        unstage(least)
+        unstage(now)
+        now = made
+    return now
+
+
+def drawn_together(edges: DataFrame) -> DataFrame:
+    """Staged edges (u, v), u > v, of the same components after a single round: most nodes are next to their smallest."""
+    return _round(_edges(edges))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node of ``edges`` (its first two columns); component is the smallest node.
 
     Nulls and self-loops are dropped: a node without another end isn't in the result.
     """
-    a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
-    now = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
+    now = _edges(edges)
     for _ in range(max_rounds):
         # in a star around its smallest node, every other node has one edge up and none down
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(now.select("v", F.lit(0), F.lit(1)))
         if not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").head(1):
             break
-        for large in (True, False):
-            made, least = _star(now, large)
-            made = stage(made)
-            unstage(least)
-            unstage(now)
-            now = made
+        now = _round(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # now every component is a star around its smallest node

@@ -146,7 +146,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 1e-3, steps: int
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = 8_000, bar: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(weights, thresholds) as bytes, no row where there is nothing to tell apart; only the sample's features reach the one task."""
+    """(places, weights, thresholds) as bytes, with the weights of features that take part; no row where there is nothing to tell apart; only the sample's features reach the one task."""
     rated = labels.select(F.col("doc_id").alias("id"), (F.col("quality").cast("int") + 1 - F.col("toxic").cast("int")).alias("grade"))
     rated = rated.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     # at most `sample` ids, so they can be broadcast
@@ -165,15 +165,20 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 8_000, bar: float =
             rows = [np.frombuffer(x, np.int32) for *_, x in held]
             used = screened(rows, grades, bar)
             weights, thresholds = fit([x[used[x]] for x in rows], grades)
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([thresholds.tobytes()], pa.binary())], names=["weights", "thresholds"])
+            at, values = _sparse(weights)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, values, thresholds)], names=["places", "weights", "thresholds"])
 
-    return rows.mapInArrow(shrink, "grade int, h bigint, found binary").repartition(1).mapInArrow(learn, "weights binary, thresholds binary")
+    return rows.mapInArrow(shrink, "grade int, h bigint, found binary").repartition(1).mapInArrow(learn, "places binary, weights binary, thresholds binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, bar: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
     """The fitted model, or None where there is nothing to tell apart."""
     found = fitted(docs, labels, sample, bar, id_col, text_col).first()
-    return (np.frombuffer(found[0]).astype(np.float32), np.frombuffer(found[1])) if found else None
+    if not found:
+        return None
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[np.frombuffer(found[0], np.int64)] = np.frombuffer(found[1])
+    return weights, np.frombuffer(found[2])
 
 
 def _sparse(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, stage, unstage, utf8
-from .graph import connected_components
+from .graph import connected_components, drawn_together
 
 BLOCK = 1 << 16
 
@@ -224,7 +224,8 @@ def similar_groups(nodes: DataFrame, most: int, verify: Callable[[DataFrame], Da
     if they differ in ``most`` bits or fewer and ``verify`` keeps their pair. First, in ``rounds`` rounds, the nodes of a
     place meet one leader of it (the smallest ``first``, then by a hash), which joins large groups without their pairs.
     Places all of whose nodes are in one component are done; in those that are left, nodes meet each other unless their
-    components are joined already. A pair is compared in the first place that it shares only, and unlike nodes end where
+    components are joined already. What was found in a round stands for its links from then on, so components aren't made
+    anew from all links; after the first rounds a node has one that it is joined with, after the last its component. A pair is compared in the first place that it shares only, and unlike nodes end where
     they meet, as each carries its complete fingerprint.
     """
     table = nodes.select("node", "first", F.explode("cells").alias("key"))
@@ -238,7 +239,7 @@ def similar_groups(nodes: DataFrame, most: int, verify: Callable[[DataFrame], Da
 
     found = table.withColumn("comp", F.col("node"))
     live = stage(found.drop("first").join(led(found, F.col("first")), "key"))
-    edges = tried = groups = None
+    edges = tried = None
     for turn in range(rounds + 1):
         if turn < rounds:
             met = live.where("comp != b_comp").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
@@ -255,11 +256,16 @@ def similar_groups(nodes: DataFrame, most: int, verify: Callable[[DataFrame], Da
         edges = new if edges is None else edges.unionAll(new)
         if turn == rounds or not new.head(1):
             continue
-        groups = stage(connected_components(edges))
+        if turn + 1 < rounds:
+            edges = drawn_together(edges)
+            groups = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        else:
+            groups = stage(connected_components(edges))
+            edges = groups.where("node != component")
         named = stage(live.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")))
         live = stage(named.join(led(named, F.xxhash64("node", "key", F.lit(turn))), "key"))
         if not live.head(1):
-            return groups
+            break
     return connected_components(edges) if edges.head(1) else None
 
 

@@ -61,3 +61,24 @@ def test_wide_fingerprints_are_majorities():
     assert first == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
     assert len(set(simhash.wide_fingerprint(hashes))) == simhash.WIDE
     assert simhash.wide_fingerprint(np.zeros(0, np.uint64)) == (0,) * simhash.WIDE
+
+
+def test_components_arent_made_anew_from_all_links(spark, monkeypatch):
+    # a chain of copies that no leader joins in one round: links of earlier rounds come as one edge for each node
+    texts, w = [], words(11, 150)
+    for i in range(40):
+        w = [*w[3:], *words(100 + i, 3)]
+        texts.append(" ".join(w))
+    seen, whole = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: seen.append(edges) or whole(edges))
+    kept = [r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()]
+    assert kept == [0] and len(seen) <= 2
+
+
+def test_a_single_round_keeps_components(spark):
+    rnd = random.Random(8)
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)]
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    components = lambda x: sorted(tuple(r) for r in simhash.connected_components(x).collect())
+    once = simhash.drawn_together(frame)
+    assert once.where("u <= v").count() == 0 and components(once) == components(frame)
