@@ -67,7 +67,11 @@ def _masks(radius: int) -> Column:
 
 
 def links(fps: DataFrame, radius: int = 3, dense: int = 256) -> DataFrame:
-    """Edges (a, b) among the distinct values of column fp; they join what lies within ``radius`` bits."""
+    """Edges (a, b) among the distinct values of column fp; they join what lies within ``radius`` bits.
+
+    Spark takes an exploded table for as small as it was before, and rows that repeat a value for as small as their file,
+    so joins of balls are merge joins by hint: none of them is broadcast.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("radius is 0 to 3")
     near = radius // 2
@@ -78,7 +82,7 @@ def links(fps: DataFrame, radius: int = 3, dense: int = 256) -> DataFrame:
     some = bool(crowded.head(1))
     light = probes.join(crowded, ["seg", "key"], "left_anti") if some else probes
     pairs = (
-        light.join(table.select("seg", F.col("val").alias("key"), F.col("fp").alias("other")), ["seg", "key"])
+        light.hint("merge").join(table.select("seg", F.col("val").alias("key"), F.col("fp").alias("other")).hint("merge"), ["seg", "key"])
         .where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius))
         .select(F.col("fp").alias("a"), F.col("other").alias("b"))
     )
@@ -96,7 +100,7 @@ def links(fps: DataFrame, radius: int = 3, dense: int = 256) -> DataFrame:
     points = stage(points)
     keys = ["seg", "key", "off", "point"]
     met = stage(points.groupBy(*keys).agg(F.min(F.when(F.col("side") == "x", F.col("fp"))).alias("x"), F.min(F.when(F.col("side") == "y", F.col("fp"))).alias("y")).where("x is not null and y is not null"))
-    tied = points.join(met, keys).select(F.col("fp").alias("a"), F.when(F.col("side") == "x", F.col("y")).otherwise(F.col("x")).alias("b"))
+    tied = points.hint("merge").join(met.hint("merge"), keys).select(F.col("fp").alias("a"), F.when(F.col("side") == "x", F.col("y")).otherwise(F.col("x")).alias("b"))
     return pairs.unionAll(tied.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
